@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrail.llm import byte_bpe, huffman_ids, packing
+from redactrail.llm import byte_bpe, huffman_ids, near_dedup, packing
 from redactrail.llm.common import table
 
 
@@ -20,12 +20,16 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_huffman_ids, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_huffman_ids, op7_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
