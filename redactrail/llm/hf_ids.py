@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-from redactrail.llm.common import CHUNK, MEMO_CHARS, WHITE_SPACE, Memo
+import numpy as np
+
+from redactrail.llm.common import CHUNK, MEMO_CHARS, MEMO_JOINED, WHITE_SPACE, Memo
 
 CHUNKS = {"space": CHUNK, "word": re.compile(f"[^{WHITE_SPACE}]+")}
 
@@ -22,6 +25,12 @@ TOGETHER = 256
 
 
 class ChunkEncoder:
+    """Encodes texts; new chunks go to the library many at once.
+
+    New chunks that are one word are written into one text, whose ids are cut where a word's first ("space") or last
+    ("word") token stands; should there not be as many cuts as words, and for all other chunks, each is encoded by itself.
+    """
+
     def __init__(self, path: str, chunks: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -29,24 +38,77 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.chunks = CHUNKS[chunks].findall
+        self.spaced = chunks == "space"
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if self.spaced else token.endswith("</w>"))]] = True
         self.memo: Memo[bytes] = Memo()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        from array import array
-
-        memo = self.memo
+        known = self.memo.get
         cut = [self.chunks(text) for text in texts]
-        now = {chunk: memo[chunk] for chunk in set().union(*cut)}
-        new = [chunk for chunk, ids in now.items() if ids is None]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        parts = [list(map(known, chunks)) for chunks in cut]
+        gaps: list[tuple[int, int]] = []
+        for i, own in enumerate(parts):
+            for _ in range(own.count(None)):
+                at = own.index(None, gaps[-1][1] + 1 if gaps and gaps[-1][0] == i else 0)
+                gaps.append((i, at))
+        new = self._look_up({cut[i][at] for i, at in gaps})
+        for i, at in gaps:
+            parts[i][at] = new[cut[i][at]]
+        return map(b"".join, parts)
+
+    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that the newer memo lacks."""
+        memo, found, words, others, ended = self.memo, {}, set(), [], []
+        for chunk in chunks:
+            ids = memo[chunk]
+            if ids is not None:
+                found[chunk] = ids
+            elif self._is_word(chunk):
+                words.add(chunk)
+            elif chunk[-1] in ",." and self._is_word(word := chunk[:-1]):  # the mark is a piece of its own
+                ids = memo[word]
+                if ids is None:
+                    words.add(word)
+                ended.append((chunk, word, ids))
+            else:
+                others.append(chunk)
+        new = dict(self._words(list(words)))
+        new |= self._singly(others)
+        found |= new
+        for word, ids in new.items():
+            if len(word) <= MEMO_CHARS:
+                memo.put(word, ids)
+        if ended:
+            marks = dict(self._singly([",", "."]))
+            for chunk, word, ids in ended:
+                found[chunk] = (new[word] if ids is None else ids) + marks[chunk[-1]]
+                if len(chunk) <= MEMO_JOINED:
+                    memo.put(chunk, found[chunk])
+        return found
+
+    def _is_word(self, chunk: str) -> bool:
+        return chunk[1:].isalpha() and chunk[0] == " " if self.spaced else chunk.isalpha()
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            text = "".join(some) if self.spaced else " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.edge[ids]) + (not self.spaced)
+            if len(cuts) != len(some) or (cuts[0] if self.spaced else cuts[-1] - len(ids)):
+                yield from self._singly(some)
+                continue
+            raw, ends = ids.tobytes(), (4 * (np.append(cuts[1:], len(ids)) if self.spaced else cuts)).tolist()
+            yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+
+    def _singly(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(chunks), 4096):
+            some = chunks[at : at + 4096]
             for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = now[chunk] = array("I", got.ids).tobytes()
-                if len(chunk) <= MEMO_CHARS:
-                    memo.put(chunk, ids)
-        for chunks in cut:
-            yield b"".join(map(now.__getitem__, chunks))
+                yield chunk, array("I", got.ids).tobytes()
 
 
 @lru_cache(maxsize=2)

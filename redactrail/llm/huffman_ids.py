@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, shared_folder, shuffle_partitions, written
+from redactrail.llm.common import mapped, pick, quoted, shared_folder, shuffle_partitions, written
 from redactrail.llm.hf_ids import encoded
 
 #: The longest code in bits, ids between checkpoints, ids after which a block is closed.
@@ -160,47 +160,64 @@ def decode_slice(bits: bytes, points: np.ndarray, size: int, start: int, stop: i
 
 
 def tokenised(df: DataFrame, tokenizer_path: str, end_id: int = 1, chunks: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's ids and end_id, little-endian unsigned 32-bit integers."""
-    from pyspark.sql.pandas.types import to_arrow_type
+    """(doc_id, ids, counts): each whole text's ids and end_id, little-endian unsigned 32-bit integers.
 
-    kind = df.schema[id_col].dataType
+    The last row of a task has no ids but how often each id occurs in its rows, 64-bit integers by id.
+    """
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         end = end_id.to_bytes(4, "little")
+        total = np.zeros(0, np.int64)
+        held, size = [], 0
         for doc_id, ids in encoded(each, tokenizer_path, chunks):
-            yield doc_id, ids + end
+            yield doc_id, ids + end, None
+            held.append(ids + end)
+            size += len(ids)
+            if size >= 4 << 20:
+                total, held, size = added(total, held), [], 0
+        yield None, None, added(total, held).tobytes()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    return mapped(pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col), rows, schema, "doc_id long, ids binary, counts binary")
+
 
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("ids", pa.binary())])
-    return mapped(pick(df, doc_id=id_col, text=text_col), rows, schema, f"doc_id {kind.simpleString()}, ids binary")
+def added(total: np.ndarray, parts: list[bytes]) -> np.ndarray:
+    """total, by id, and the ids of the parts."""
+    own = np.bincount(np.frombuffer(b"".join(parts), "<u4")) if parts else np.zeros(0, np.int64)
+    if len(own) > len(total):
+        own, total = total, own.astype(np.int64)
+    total[: len(own)] += own
+    return total
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows of `ids`; as long as the largest id needs."""
+    """The sum of the tasks' counts, by id; as long as the largest id needs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_py() or b"", "<u4"))
-                if len(own) > len(total):
-                    own, total = total, own.astype(np.int64)
+            for own in batch.column(0):
+                own = np.frombuffer(own.as_py(), np.int64)
+                total = np.pad(total, (0, max(0, len(own) - len(total))))
                 total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
+    rows = tokens.where("counts IS NOT NULL").select("counts")
+    found = rows.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"].to_numpy(int)] = found["n"].to_numpy(int)
     return counts
 
 
 def write_tokens(tokens: DataFrame, path: str, limit: int = LIMIT, interval: int = INTERVAL, block_ids: int = BLOCK_IDS) -> None:
-    """Writes rows (doc_id long, ids) in ascending doc_id order. tokens is read three times: it should be a written table."""
+    """Writes rows of tokenised() in ascending doc_id order. tokens is read three times: it should be a written table."""
     spark = tokens.sparkSession
     counts = id_counts(tokens)
     lengths = code_lengths(counts, limit)
     codes = canonical_codes(lengths)
     shards = shuffle_partitions(spark)
+    tokens = tokens.where("ids IS NOT NULL")
     cuts = sorted(set(tokens.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards)))
     spark.createDataFrame([(limit, interval, bytes(lengths))], "code_limit int, checkpoint_interval int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactrail.llm.common import mapped, pick, shuffle_partitions, sorted_shards, written
-from redactrail.llm.hf_ids import encoded
+from redactrail.llm.rank_ids import encoded
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), lengths falling
 Plan = list[tuple[Pattern, int]]  # (pattern, in how many sequences)
@@ -48,7 +48,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         end = end_id.to_bytes(4, "little")
-        for doc_id, ids in encoded(each, tokenizer_path, "space"):
+        for doc_id, ids in encoded(each, tokenizer_path):
             ids += end
             size = len(ids) // 4
             start, stop = 0, size % capacity or capacity
