@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrail.llm import byte_bpe, huffman_ids, near_dedup, packing
+from redactrail.llm import byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality
 from redactrail.llm.common import table
 
 
@@ -16,10 +16,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -29,7 +38,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_huffman_ids, op7_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op7_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
