@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrail.llm import byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality
+from redactrail.llm import avi_media, byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality
 from redactrail.llm.common import table
 
 
@@ -33,12 +33,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op7_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op7_near_dedup, op8_avi_media, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
