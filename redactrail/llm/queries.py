@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrail.llm import avi_media, byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality
+from redactrail.llm import avi_media, byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality, url_filter, voronoi_knn
 from redactrail.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.fit(pages, URL_RULES), URL_RULES)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op7_near_dedup, op8_avi_media, op9_best_fit_packing)}
+    found = (
+        op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op6_url_filter,
+        op7_near_dedup, op8_avi_media, op9_best_fit_packing, op10_voronoi_knn,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
