@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrail.llm import avi_media, byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality, url_filter, voronoi_knn
+from redactrail.llm import avi_media, byte_bpe, chunk_dedup, huffman_ids, near_dedup, packing, quality, url_filter, voronoi_knn, warc_revisits
 from redactrail.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisits.resolved_captures(table(spark, sf_dir, "pages"))
+
+
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -55,11 +59,25 @@ def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_byte_bpe, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op6_url_filter,
+        op1_byte_bpe, op2_warc_revisits, op3_chunk_dedup, op4_huffman_ids, op5_quality_classifier, op6_url_filter,
         op7_near_dedup, op8_avi_media, op9_best_fit_packing, op10_voronoi_knn,
     )
     return {f.__name__: f for f in found}
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT), 0) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": warc_revisits.ORACLE_SQL, "op10_voronoi_knn": TOP_K_SQL}
