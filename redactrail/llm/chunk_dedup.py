@@ -138,7 +138,7 @@ def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
     rows = cut.select("doc_id", F.posexplode("digests").alias("i", "digest"), "ends")
     rows = rows.select("doc_id", "digest", F.when(F.col("i") > 0, F.expr("ends[i - 1]")).otherwise(0).alias("start"), F.expr("ends[i]").alias("end"))
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    marked = rows.join(shared, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest", "first_doc")).alias("marks"))
+    marked = rows.join(shared.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest", "first_doc")).alias("marks"))
 
     def each(docs: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, marks in docs:
@@ -170,7 +170,7 @@ def deduplicated(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_i
 
         return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    joined = df.join(cuts, F.col(quoted(id_col)).cast("long") == F.col("_cut_doc"), "left")
+    joined = df.join(cuts.hint("merge"), F.col(quoted(id_col)).cast("long") == F.col("_cut_doc"), "left")
     fresh = joined.withColumn("_text", F.when(F.col("_cuts").isNull(), F.col(quoted(text_col))).otherwise(without(F.col(quoted(text_col)), F.col("_cuts"))))
     columns = []
     for c in df.columns:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,3 +113,65 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: What str.split() splits at, as code points.
+SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of a text that are worked on at once.
+PIECE = 1 << 19
+
+
+def pieces(text: str, size: int = PIECE) -> list[str]:
+    """The text in pieces of about `size` characters, cut at spaces if there are any."""
+    if len(text) <= size:
+        return [text]
+    cuts, at = [], 0
+    while len(text) - at > size:
+        end = text.rfind(" ", at + 1, at + size)
+        if end <= at:
+            end = text.find(" ", at + size)
+        if end <= at:
+            break
+        cuts.append(text[at:end])
+        at = end
+    return [*cuts, text[at:]]
+
+
+def code_points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's code points between two spaces, all white space as spaces; and where there is white space."""
+    if text.isascii():
+        code = np.frombuffer(f" {text} ".encode(), np.uint8)
+        space = (code == 32) | ((code >= 9) & (code <= 13)) | ((code >= 28) & (code <= 31))
+    else:
+        code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = np.isin(code, SPACES)
+    return np.where(space, code.dtype.type(32), code).astype(np.uint64), space
+
+
+class Powers:
+    """Powers of MULTIPLIER and of its inverse, modulo 2**64, as many as were ever needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+            cls.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, MULTIPLIER)]))
+            cls.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, inverse)]))
+        return cls.up[:n], cls.down[:n]
+
+
+def hashes_of_words(code: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of code_points(), in order: its code points as a polynomial."""
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    up, down = Powers.of(len(code))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(code * up)])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of str.split(), in order."""
+    return np.concatenate([hashes_of_words(*code_points(part)) for part in pieces(text)])

@@ -34,13 +34,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, quoted, written
+from redactrail.llm.common import mapped, pick, quoted, shuffle_partitions, word_hashes, written
 from redactrail.llm.components import components
 
 WORDS, SIMILARITY, COMMON = 5, 0.8, 0.05
@@ -74,11 +73,6 @@ def mix(x: np.ndarray, key: np.uint64) -> np.ndarray:
     return x
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text as hashes in order, and how often each occurs."""
     h = word_hashes(text or "")
@@ -143,7 +137,10 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
         held, n, size = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            found, df = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            cell = (every >> np.uint64(40)).astype(np.int32)  # 2**24 cells: few shingles share one with a frequent one
+            every = every[(np.bincount(cell, minlength=1 << 24) > COMMON * n)[cell]]
+            found, df = np.unique(every, return_counts=True)
             return pa.record_batch([pa.array(found[df > COMMON * n].view(np.int64))], names=["shingle"])
 
         for batch in batches:
@@ -221,47 +218,83 @@ def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFram
 
 def proposals(signed: DataFrame) -> DataFrame:
     """(a, b, agree): pairs a < b of documents that share a band and may be near, some for each document and band."""
-    rows = signed.where(F.size("bands") > 0).select("doc_id", "low", F.explode("bands").alias("band"))
+    rows = signed.where(F.size("bands") > 0).select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = rows.join(shared, "band")
+    # merged, not broadcast: the buckets grow with the documents
+    open_ = rows.join(shared.hint("merge"), "band").join(signed.select("doc_id", "low").hint("merge"), "doc_id")
     # a bucket of at most BLOCK is one block; a larger one's documents go to blocks by hash, some of them to all blocks
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks).cast("int")
     # the anchors of a large bucket: BLOCK / 4 or so, whichever its size
     anchor = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.lit(1), (F.col("n") / F.lit(BLOCK // 4)).cast("int"))) == 0
-    dealt = open_.select("band", "doc_id", "low", "n", F.explode(F.when((blocks > 1) & anchor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))).alias("block"))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, low = ids[order], np.frombuffer(b"".join(pdf["low"].to_numpy()[order]), np.uint8).reshape(-1, SAMPLES)
-        n = len(ids)
-        if n < 2:
-            return pd.DataFrame({"a": [], "b": [], "agree": []}).astype({"a": "int64", "b": "int64", "agree": "float64"})
-        mode = np.array([np.bincount(low[:, k], minlength=256).argmax() for k in range(SAMPLES)], np.uint8)
-        centre = int((low == mode).sum(1).argmax())
-        found: dict[tuple[int, int], float] = {}
-        for at in range(0, n, 128):
-            part = low[at : at + 128]
+    block = F.explode(F.when((blocks > 1) & anchor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine)))
+    dealt = open_.select("band", block.alias("block"), "doc_id", "low").repartition(shuffle_partitions(signed.sparkSession), "band", "block").sortWithinPartitions("band", "block", "doc_id")
+    found = dealt.mapInArrow(_near, "a long, b long, agree double")
+    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The proposals of each block of rows (band, block, doc_id, low), which come in order."""
+
+    def proposed(keys: np.ndarray, ids: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+        sizes = np.diff(np.append(starts, len(ids)))
+        two = starts[sizes == 2]
+        agree = (low[two] == low[two + 1]).mean(1)
+        near = agree >= AGREE
+        parts = [(ids[two[near]], ids[two[near] + 1], agree[near])]
+        parts += [_block(ids[at : at + n], low[at : at + n]) for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
+        a, b, agree = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree)], names=["a", "b", "agree"])
+
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)], axis=1)
+        low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        now = [keys, batch.column(2).to_numpy(), low]
+        if kept is not None:
+            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        last = int(np.flatnonzero((now[0] != now[0][-1]).any(1)).max(initial=-1)) + 1  # the last block may go on
+        kept = [x[last:] for x in now]
+        if last:
+            yield proposed(*[x[:last] for x in now])
+    if kept is not None:
+        yield proposed(*kept)
+
+
+def _block(ids: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of more than two documents, each one's nearest others and the most central one."""
+    n = len(ids)
+    at = np.arange(SAMPLES) * 256 + low
+    times = np.bincount(at.ravel(), minlength=256 * SAMPLES)
+    mode = times.reshape(SAMPLES, 256).argmax(1)
+    centre = int((low == mode).sum(1).argmax())
+    a, b, value = [], [], []
+    most = min(PROPOSALS, n - 1)
+    for start in range(0, n, 128):
+        part = low[start : start + 128]
+        if n < 64:
+            agree = (part[:, None, :] == low[None, :, :]).sum(2).astype(np.int16)
+        else:
             agree = np.zeros((len(part), n), np.int16)
             for k in range(SAMPLES):
                 agree += part[:, k, None] == low[None, :, k]
-            agree[np.arange(len(part)), np.arange(at, at + len(part))] = -1
-            most = min(PROPOSALS, n - 1)
-            best = np.argpartition(-agree, most - 1, axis=1)[:, :most] if n > 2 else np.argmax(agree, axis=1)[:, None]
-            best = np.concatenate([best, np.full((len(part), 1), centre)], axis=1)
-            value = np.take_along_axis(agree, best, 1)
-            for i, j in zip(*np.nonzero(value >= AGREE * SAMPLES), strict=True):
-                x, y = ids[at + i], ids[best[i, j]]
-                found[min(x, y), max(x, y)] = value[i, j] / SAMPLES
-        return pd.DataFrame([(a, b, v) for (a, b), v in found.items()], columns=["a", "b", "agree"])
-
-    return dealt.groupBy("band", "block").applyInPandas(near, "a long, b long, agree double").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        own = np.arange(start, start + len(part))
+        agree[np.arange(len(part)), own] = -1
+        best = np.concatenate([np.argpartition(-agree, most - 1, axis=1)[:, :most], np.full((len(part), 1), centre)], axis=1)
+        reached = np.take_along_axis(agree, best, 1)
+        i, j = np.nonzero(reached >= AGREE * SAMPLES)
+        a.append(ids[own[i]])
+        b.append(ids[best[i, j]])
+        value.append(reached[i, j] / SAMPLES)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(value)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
     """(a, b): the pairs whose texts reach the weighted Jaccard similarity."""
-    left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    left = pairs.select("a", "b").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
@@ -287,7 +320,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = written(wordy.join(copies.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
     pairs = written(proposals(first), "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     best = F.max(F.struct("agree", F.expr("-least(a, b)"), "a", "b"))
     each = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     tried = each.groupBy("end").agg(best.alias("x")).select("x.a", "x.b").distinct()
@@ -306,4 +339,4 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows of the documents that are the first of their class."""
     kept = written(classes(df, id_col, text_col).where("class_id = doc_id").select(F.col("doc_id").alias(id_col)), "kept")
-    return df.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return df.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])

@@ -10,7 +10,7 @@ bucket: executors get a table of fixed size. Features are made from arrays of co
 
 Learning takes a bounded sample: SAMPLE labelled documents of each label, those of least hash, with at most FEATURES
 distinct features of each (its most frequent). Documents whose crc32(id as text) mod FOLDS is 0 are never learned from.
-Scores are of whole texts and of all documents, in pieces of PIECE characters that overlap as features need.
+Scores are of whole texts and of all documents, in pieces of common.PIECE characters, cut between words.
 
 Cases. Null text: as the empty text. Texts without features, the empty text included: the score of the learned bias alone.
 Null ids: not held out. Repeated rows: scored each. Labels that are null are ignored, of repeated ones of a document the
@@ -27,14 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import pick, quoted
+from redactrail.llm.common import MULTIPLIER, code_points, hashes_of_words, pick, pieces, quoted
 
 BUCKETS, DIM, FOLDS = 1 << 17, 16, 5
 SAMPLE, FEATURES, EPOCHS, RATE = 1500, 8192, 6, 0.6
-PIECE = 1 << 19
-P = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
-SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -42,41 +38,20 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - 17)).astype(np.int32)
 
 
-class _Powers:
-    """Powers of P and of its inverse, modulo 2**64, as many as were ever needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, P)]))
-            cls.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
-        return cls.up[:n], cls.down[:n]
-
-
 def features(text: str) -> np.ndarray:
     """The buckets of all features of a text, repeated as often as they occur."""
-    code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = code <= 32
-    if code.max() > 127:
-        space = np.isin(code, SPACES)
-    code = np.where(space, np.uint32(32), code).astype(np.uint64)
+    code, space = code_points(text)
     found = []
     inner = ~space
-    two = code[:-1] * P + code[1:]
-    three = two[:-1] * P + code[2:]
+    two = code[:-1] * MULTIPLIER + code[1:]
+    three = two[:-1] * MULTIPLIER + code[2:]
     whole = inner[1:-1]
     found.append(_bucket(three[whole], 3))
     if len(code) > 3:
-        four = three[:-1] * P + code[3:]
+        four = three[:-1] * MULTIPLIER + code[3:]
         found.append(_bucket(four[whole[:-1] & whole[1:]], 4))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    if len(starts):
-        up, down = _Powers.of(len(code))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(code * up)])
-        words = (sums[ends] - sums[starts]) * down[starts]
+    words = hashes_of_words(code, space)
+    if len(words):
         found.append(_bucket(words, 1))
         pairs = words[:-1] * np.uint64(31) + words[1:]
         pairs[words[:-1] == words[1:]] = 0
@@ -84,19 +59,6 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(found)
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text in pieces of about `size` characters, cut at spaces if there are any."""
-    if len(text) <= size:
-        return [text]
-    cuts, at = [], 0
-    while len(text) - at > size:
-        end = text.rfind(" ", at + 1, at + size)
-        end = end if end > at else at + size
-        cuts.append(text[at:end])
-        at = end
-    return [*cuts, text[at:]]
-
-
 @dataclass(frozen=True)
 class Model:
     """What a feature of each bucket adds to the log-odds of label 1, on average over a text's features, and the bias."""
