@@ -64,9 +64,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
+def written(df: DataFrame, what: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor.
+
+    narrow: an eighth of the shuffle partitions, for tables of a few numbers a row, which would be many tiny files.
+    """
     path = shared_folder(df.sparkSession, what)
+    if narrow:
+        df = df.coalesce(max(8, shuffle_partitions(df.sparkSession) // 8))
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,14 +17,14 @@ from redactrail.llm.common import written
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): every vertex of the edges (a, b), with the smallest id of its component."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True)
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == before:
             break
         before = state
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now)), "edges", narrow=True)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 

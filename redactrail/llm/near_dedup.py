@@ -4,7 +4,8 @@
 
 Weights. A document's shingles are its runs of five words (the whole text, if it has fewer). A shingle's weight is
 (1 + ln tf) * idf, with idf = ln(N / df) / ln(N / d) for shingles in more than d = COMMON * N of the N documents and 1 for
-all others: boilerplate counts less, whereas a family of copies doesn't lose similarity by being large. Only the shingles
+all others: what stands in nearly all documents counts less, whereas a family of copies, which may be a third of all
+documents, doesn't lose similarity by being large. Only the shingles
 in more than d documents must be known by name. Each is in more than that share of the documents of some task, so the
 tasks' own frequent shingles are a complete list of candidates (one for COMMON of a document's shingles and task at most),
 which a second pass counts exactly over all documents.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from redactrail.llm.common import mapped, pick, quoted, shuffle_partitions, word_hashes, written
 from redactrail.llm.components import components
 
-WORDS, SIMILARITY, COMMON = 5, 0.8, 0.05
+WORDS, SIMILARITY, COMMON = 5, 0.8, 0.4
 BANDS, ROWS, BLOCK, PROPOSALS = 20, 4, 1024, 2
 SAMPLES = BANDS * ROWS
 #: The least share of equal samples (their low bytes) of a pair that may reach the similarity.
@@ -138,8 +139,8 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
-            cell = (every >> np.uint64(40)).astype(np.int32)  # 2**24 cells: few shingles share one with a frequent one
-            every = every[(np.bincount(cell, minlength=1 << 24) > COMMON * n)[cell]]
+            cell = (every >> np.uint64(43)).astype(np.int32)  # 2**21 cells: few shingles share one with a frequent one
+            every = every[(np.bincount(cell, minlength=1 << 21) > COMMON * n)[cell]]
             found, df = np.unique(every, return_counts=True)
             return pa.record_batch([pa.array(found[df > COMMON * n].view(np.int64))], names=["shingle"])
 
@@ -147,7 +148,7 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
             for text in batch.column(0):
                 held.append(shingles(text.as_py())[0])
                 n, size = n + 1, size + len(held[-1])
-                if size >= 4 << 20 and n >= 1000:
+                if size >= 1 << 20 and n >= 1000:
                     yield flush()
                     held, n, size = [], 0, 0
         if n:
@@ -318,17 +319,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wordy = signed.where(F.size("bands") > 0)
     copies = wordy.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"))
     first = written(wordy.join(copies.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
-    pairs = written(proposals(first), "pairs")
+    pairs = written(proposals(first), "pairs", narrow=True)
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     best = F.max(F.struct("agree", F.expr("-least(a, b)"), "a", "b"))
     each = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     tried = each.groupBy("end").agg(best.alias("x")).select("x.a", "x.b").distinct()
-    links = written(verified(tried, texts, common, idf), "links")
-    known = written(components(links), "known")
+    links = written(verified(tried, texts, common, idf), "links", narrow=True)
+    known = written(components(links), "known", narrow=True)
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    more = written(verified(rest, texts, common, idf), "links")
+    more = written(verified(rest, texts, common, idf), "links", narrow=True)
     grouped = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     own = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(copies, "text_id", "left")
     own = own.select("doc_id", F.when(F.col("wordy"), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"))
@@ -338,5 +339,5 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows of the documents that are the first of their class."""
-    kept = written(classes(df, id_col, text_col).where("class_id = doc_id").select(F.col("doc_id").alias(id_col)), "kept")
+    kept = written(classes(df, id_col, text_col).where("class_id = doc_id").select(F.col("doc_id").alias(id_col)), "kept", narrow=True)
     return df.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
