@@ -47,7 +47,8 @@ def whole_value_spans(text: str, marks: dict[str, list[str]]) -> list[tuple[int,
         if not ordered:
             continue
         edge = lambda v: (r"(?<!\w)" if v[0].isalnum() else "") + re.escape(v) + (r"(?!\w)" if v[-1].isalnum() else "")
-        for m in re.finditer("|".join(map(edge, ordered)), text, re.IGNORECASE):
-            if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
-                taken.append((m.start(), m.end(), kind))
+        pattern = re.compile("|".join(map(edge, ordered)), re.IGNORECASE)
+        taken.sort()
+        free = zip([0, *[end for _, end, _ in taken]], [*[start for start, _, _ in taken], len(text)], strict=True)
+        taken += [(m.start(), m.end(), kind) for start, end in list(free) for m in pattern.finditer(text, start, end)]
     return sorted(taken)

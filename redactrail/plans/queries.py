@@ -140,7 +140,7 @@ def align_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pair_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
-    pairs = align.align(a, b).persist()
+    pairs = align.align(a, b)
     return pairs.unionByName(align.missing(a, pairs))
 
 
@@ -233,7 +233,7 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.metrics(rows(spark, sf_dir).select("left", "right", "how"), *texts(spark, sf_dir)).drop("removed_sample", "added_sample")
 
 
-_SETS = f"""ta AS (SELECT app, "left", unnest({TOKENS.format("x.text")}) AS token FROM rv JOIN l x ON x.path = rv."left" WHERE "right" IS NOT NULL),
+_SETS = f"""ta AS (SELECT rv.app, "left", unnest({TOKENS.format("x.text")}) AS token FROM rv JOIN l x ON x.path = rv."left" WHERE "right" IS NOT NULL),
 tb AS (SELECT rv.app, "left", unnest({TOKENS.format("y.text")}) AS token FROM rv JOIN r y ON y.path = rv."right"), tk AS (SELECT ta.*, tb.token IS NOT NULL AS kept FROM ta LEFT JOIN tb ON ta."left" = tb."left" AND ta.token = tb.token)"""
 _LEARNED = f"WITH {VIEWS}, {EXACT}, {ROWS}, {_SETS}, lc AS (SELECT app, token, count(*) FILTER (NOT kept) AS rewrote, count(*) FILTER (kept) AS kept FROM tk GROUP BY 1, 2)"
 
