@@ -31,6 +31,10 @@ from redactrail.llm.common import MULTIPLIER, code_points, hashes_of_words, pick
 
 BUCKETS, DIM, FOLDS = 1 << 17, 16, 5
 SAMPLE, FEATURES, EPOCHS, RATE = 1500, 8192, 6, 0.6
+#: A small sample is gone through more often than EPOCHS times: so often that there are as many steps as this.
+LEAST_STEPS = 12_000
+#: How likely label 1 is before a text is seen; both labels are drawn equally often in learning.
+PRIOR = 0.7
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -75,8 +79,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1), -30, 30))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, seed: int = 1) -> Model:
-    """Learns from (distinct buckets, how often, label 0 or 1); prior: the share of label 1 outside the sample."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> Model:
+    """Learns from (distinct buckets, how often, label 0 or 1).
+
+    Both labels are drawn equally often, rows of the rarer one again and again.
+    """
     random = np.random.default_rng(seed)
     share = np.mean([y for *_, y in rows]) if rows else 0.5
     if share in (0, 1) or not rows:
@@ -85,9 +92,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, seed: in
     vectors = random.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, step = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
-        for i in random.permutation(len(rows)):
+    by_label = [np.array([i for i, (*_, y) in enumerate(rows) if y == label]) for label in (0, 1)]
+    most = max(map(len, by_label))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // (2 * most)))
+    steps, step = epochs * 2 * most, 0
+    for _ in range(epochs):
+        for i in random.permutation(np.concatenate([np.resize(random.permutation(own), most) for own in by_label])):
             buckets, counts, label = rows[i]
             rate = np.float32(RATE * (1 - step / steps))
             step += 1
@@ -105,19 +115,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, seed: in
             bias -= rate * np.float32(0.1) * p
             # the mean spreads the step thinly: each vector gets it by its share of the most frequent one's
             vectors[buckets] = own - rate * np.outer(weight / weight.max(), back)
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
-    return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0] + shift))
+    return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0] + np.log(PRIOR / (1 - PRIOR))))
 
 
 def held_out(id_column: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
-    """The features of the bounded sample to learn from, and the share of label 1 among all labels that are not held out."""
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The features of the bounded sample to learn from."""
     own = pick(labels, doc_id="doc_id", label=F.col(quoted(label_col)).cast("int")).where("label IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
-    prior = own.agg(F.avg("label")).first()[0]
     by_hash = [own.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     wanted = by_hash[0].union(by_hash[1])
     texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(wanted), "doc_id")  # 2 * per_label rows at most
@@ -136,12 +144,12 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int =
     for _, label, raw in sorted((r["doc_id"], r["label"], bytes(r["packed"])) for r in got.collect()):
         both = np.frombuffer(raw, "<i4").reshape(2, -1)
         rows.append((both[0], both[1].astype(np.float32), label))
-    return rows, 0.5 if prior is None else float(prior)
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: int = SAMPLE) -> Model:
     """A model of labels (doc_id and label_col, 0 or 1) from the texts of docs (doc_id, text)."""
-    return train(*sampled(docs, labels, label_col, per_label))
+    return train(sampled(docs, labels, label_col, per_label))
 
 
 def score_column(model: Model, text_col: str = "text") -> Column:
