@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from redactrail.llm.common import mapped, pick
 
-BITS, ORDER, SMOOTHING, FOLDS = 18, 5, 2.0, 5
+BITS, ORDER, SMOOTHING, FOLDS = 20, 5, 2.0, 5
 BUCKETS = 1 << BITS
 #: The histogram of scores for calibration: from -SPAN to SPAN in STEPS steps.
 SPAN, STEPS = 8.0, 3200
 
 LOWER = {i: i + 32 for i in range(65, 91)}
+#: Digits are one character for the models: numbers in paths name pages, not kinds of pages.
+DIGITS = bytes(48 if 48 <= i < 58 else i for i in range(256))
 Rule = tuple[str, str]  # ("allow" or "block", host and path)
 
 
@@ -72,7 +74,7 @@ class Rules:
 
 def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By order the buckets of (context, character), those of the context, and each character's URL."""
-    raw = [u.encode("utf-8", "replace") for u in urls]
+    raw = [u.encode("utf-8", "replace").translate(DIGITS) for u in urls]
     pad = bytes([2]) * ORDER
     data = np.frombuffer(b"".join(pad + x for x in raw), np.uint8).astype(np.uint64)
     sizes = np.array([len(x) for x in raw])
