@@ -72,7 +72,8 @@ def test_captures_of_odd_pages(spark):
 
 
 def test_quality_of_held_out_documents(spark):
-    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    larger = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
     model = quality.fit(docs, labels)
     rows = quality.scored(docs, model).join(labels, "doc_id").collect()
     assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
@@ -140,7 +141,7 @@ def test_markov_models_by_brute_force():
         tables[side, 0] += np.bincount(both.ravel(), minlength=url_filter.BUCKETS)
         tables[side, 1] += np.bincount(context.ravel(), minlength=url_filter.BUCKETS)
         for u in urls[side]:
-            data = b"\2" * url_filter.ORDER + u.encode()
+            data = b"\2" * url_filter.ORDER + u.encode().translate(url_filter.DIGITS)
             for i in range(url_filter.ORDER, len(data)):
                 for k in range(url_filter.ORDER + 1):
                     for d, key in zip(exact[side], (data[i - k : i + 1], (data[i - k : i], k)), strict=True):
@@ -148,7 +149,7 @@ def test_markov_models_by_brute_force():
     tests = ["http://good.com/news7", "http://bad.com/spam", "", "other"]
     got = url_filter.Model(tables, 0.0).scores(tests)
     for u, score in zip(tests, got, strict=True):
-        data, total = b"\2" * url_filter.ORDER + u.encode(), 0.0
+        data, total = b"\2" * url_filter.ORDER + u.encode().translate(url_filter.DIGITS), 0.0
         for i in range(url_filter.ORDER, len(data)):
             p = [1 / 256, 1 / 256]
             for side in (0, 1):
@@ -333,9 +334,10 @@ def test_queries_equal_their_sql(spark, name):
         for t in ("pages", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
         df = queries.queries()[name](spark, SMALL)
-        expected = con.execute(queries.oracle_sql()[name]).df()
+        cursor = con.execute(queries.oracle_sql()[name])
+        names = [d[0] for d in cursor.description]
+        expected = cursor.fetchall()
     columns = sorted(df.columns)
-    as_text = lambda rows: sorted(str([None if x is None or x != x else x for x in r]) for r in rows)
-    assert sorted(expected.columns) == columns
-    plain = lambda x: int(x) if isinstance(x, (np.integer, bool, np.bool_, float)) and x == x else x
-    assert as_text([[plain(r[c]) for c in columns] for r in df.collect()]) == as_text([[plain(x) for x in r] for r in expected[columns].itertuples(index=False)])
+    assert sorted(names) == columns
+    got = sorted(repr([r[c] for c in columns]) for r in df.collect())
+    assert got == sorted(repr([r[names.index(c)] for c in columns]) for r in expected)
