@@ -6,7 +6,8 @@ gives a row for each clip. `write_avi`, `read_avi`, `encode_frames`, `decode_fra
 Storage. A payload is padded with spaces to whole frames of 16 x 12 samples of 8 bits. Every frame is an intra-coded JPEG of
 the lossless process (SOF3): each sample is predicted from its left neighbour, at the left edge from the one above, and the
 differences are Huffman-coded. Nothing is quantised, so the bytes come back as they were. Frames of any size and of one
-component are read, with any Huffman table of the file and predictors 1 and 2.
+component are read, with any Huffman table of the file and predictors 1 and 2. `clips` reads baseline frames, as cameras make
+them, too: their luminance.
 
 Shots. Between neighbouring frames the histograms of 16 grey levels are compared; a cut is where the difference exceeds the
 mean by DEVIATIONS standard deviations of the differences WINDOW frames around, and LEAST_CUT of the samples: so lively
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from redactrail.llm.baseline_jpeg import is_baseline, luma
 from redactrail.llm.common import mapped, pick
 
 WIDTH, HEIGHT, RATE, GROUP = 16, 12, 25, 6144
@@ -189,6 +191,16 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, UNIT), np.uint8)
 
 
+def frame_samples(frames: list[bytes]) -> np.ndarray:
+    """The samples of lossless frames, or the luminance of baseline ones, a row each."""
+    if frames and is_baseline(frames[0]):
+        pictures = [luma(f) for f in frames]
+        if len({p.shape for p in pictures}) > 1:
+            raise ValueError("frames of different sizes in one file")
+        return np.stack([p.ravel() for p in pictures])
+    return decode_frames(frames)
+
+
 def _scan_start(frame: bytes) -> int:
     if frame[:2] != b"\xff\xd8":
         raise ValueError("no JPEG frame")
@@ -393,8 +405,8 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
                 continue
             try:
                 frames, lapse = read_avi(bytes(media))
-                samples = decode_frames(frames)
-            except (ValueError, struct.error, IndexError) as e:
+                samples = frame_samples(frames)
+            except (ValueError, KeyError, struct.error, IndexError) as e:
                 yield doc_id, 0, None, None, None, None, str(e)
                 continue
             cuts = [0, *shots(samples, np.array([0]))[0].tolist(), len(samples)]
