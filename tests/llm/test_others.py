@@ -248,12 +248,89 @@ def test_index_order_shots_and_broken_files(spark):
     swapped[at + 8 : at + 24], swapped[at + 24 : at + 40] = data[at + 24 : at + 40], data[at + 8 : at + 24]
     assert avi_media.read_avi(bytes(swapped))[0] == [frames[1], frames[0], *frames[2:]]
     assert avi_media.shots(film, np.array([0]))[0].tolist() == [20, 40]
-    df = spark.createDataFrame([(1, data, 0), (2, data[:500], 0), (3, b"", 0), (4, None, 0), (5, data.replace(b"\xff\xc3", b"\xff\xc0"), 0)], "doc_id long, media binary, clip int")
+    df = spark.createDataFrame([(1, data, 0), (2, data[:500], 0), (3, b"", 0), (4, None, 0), (5, data.replace(b"\xff\xc3", b"\xff\xc2"), 0)], "doc_id long, media binary, clip int")
     rows = avi_media.clips(df).collect()
     assert [(r["start_ms"], r["end_ms"]) for r in rows if r["doc_id"] == 1] == [(0.0, 800.0), (800.0, 1600.0), (1600.0, 2400.0)]
     assert {r["doc_id"] for r in rows if r["error"]} == {2, 3, 5} and all(r["doc_id"] != 4 for r in rows)
 
 
+def baseline(planes, sampling, restart=0, own_tables=True):
+    """A baseline frame of planes of whole blocks, by the definition: DCT, quantiser 2, the usual tables."""
+    from redactrail.llm import baseline_jpeg as B
+
+    codes = {}
+    for i in (0, 1):
+        for kind, counts, symbols in ((0, B.DC_LENGTHS[i], B.DC_SYMBOLS), (1, B.AC_LENGTHS[i], B.AC_SYMBOLS[i])):
+            code, values = 0, iter(bytes.fromhex(symbols))
+            for n, count in enumerate(counts, 1):
+                for _ in range(count):
+                    codes[kind, i, next(values)] = f"{code:0{n}b}"
+                    code += 1
+                code <<= 1
+    h, v = sampling[0]
+    rows, columns = planes[0].shape[0] // (8 * v), planes[0].shape[1] // (8 * h)
+    out, bits, last = b"", "", [0] * len(planes)
+    number = lambda x: "" if not x else f"{x if x > 0 else x + (1 << abs(x).bit_length()) - 1:0{abs(x).bit_length()}b}"
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = ""
+        return data
+
+    for unit in range(rows * columns):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            last = [0] * len(planes)
+        for c, (plane, (ch, cv)) in enumerate(zip(planes, sampling, strict=True)):
+            for i in range(ch * cv):
+                y, x = 8 * (unit // columns * cv + i // ch), 8 * (unit % columns * ch + i % ch)
+                block = B.COSINES @ (plane[y : y + 8, x : x + 8] - 128.0) @ B.COSINES.T
+                q = np.rint(block.ravel()[B.ZIGZAG] / 2).astype(int).tolist()
+                d, last[c] = q[0] - last[c], q[0]
+                bits += codes[0, min(c, 1), abs(d).bit_length()] + number(d)
+                run = 0
+                for k in range(1, 64):
+                    if not any(q[k:]):
+                        bits += codes[1, min(c, 1), 0]
+                        break
+                    if q[k] == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + codes[1, min(c, 1), 0xF0], run - 16
+                    bits, run = bits + codes[1, min(c, 1), run << 4 | abs(q[k]).bit_length()] + number(q[k]), 0
+    out += flush()
+    head = b"\xff\xd8\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([2] * 64)
+    if restart:
+        head += b"\xff\xdd" + struct.pack(">HH", 4, restart)
+    if own_tables:
+        for i in (0, 1):
+            for kind, counts, symbols in ((0, B.DC_LENGTHS[i], B.DC_SYMBOLS), (1, B.AC_LENGTHS[i], B.AC_SYMBOLS[i])):
+                body = bytes([kind << 4 | i, *counts]) + bytes.fromhex(symbols)
+                head += b"\xff\xc4" + struct.pack(">H", 2 + len(body)) + body
+    parts = b"".join(bytes([c + 1, a << 4 | b, 0]) for c, (a, b) in enumerate(sampling))
+    head += b"\xff\xc0" + struct.pack(">HBHHB", 8 + len(parts), 8, *planes[0].shape, len(planes)) + parts
+    scan = b"".join(bytes([c + 1, 0x11 * min(c, 1)]) for c in range(len(planes)))
+    return head + b"\xff\xda" + struct.pack(">HB", 6 + len(scan), len(planes)) + scan + b"\0\x3f\0" + out + b"\xff\xd9"
+
+
+def test_baseline_frames(spark):
+    from redactrail.llm.baseline_jpeg import ZIGZAG, luma
+
+    assert ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and ZIGZAG[-1] == 63
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 256, (32, 48)).astype(float)
+    for frame in (baseline([y], [(1, 1)]), baseline([y], [(1, 1)], restart=4, own_tables=False), baseline([y, y[:16, :24], y[16:, 24:]], [(2, 2), (1, 1), (1, 1)], restart=2)):
+        assert np.abs(luma(frame) - y).max() <= 5
+        with pytest.raises(ValueError, match="cut short"):
+            luma(frame[: len(frame) // 2])
+    film = [baseline([np.full((16, 16), level) + rng.integers(0, 3, (16, 16))], [(1, 1)]) for level in [30.0] * 20 + [200.0] * 20]
+    rows = avi_media.clips(spark.createDataFrame([(1, avi_media.write_avi(film, 16, 16))], "doc_id long, media binary")).collect()
+    assert [(r["first_frame"], r["n_frames"], r["error"]) for r in rows] == [(0, 20, None), (20, 20, None)]
+
+
 # 10
 
 
