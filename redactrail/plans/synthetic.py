@@ -2,7 +2,7 @@
 
 Left: <source>/raw/<lang>/doc_<id>.txt. Right: every 17th document is missing, `raw` became `files`, every 5th file has a
 partly rewritten name, one source folder a new one, and in texts e-mail addresses and runs of 4 or more digits are
-replaced.
+replaced, and words that end in "ent" (its stand-ins for names), but in every third document, which leaks what was replaced elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ SELECT doc_id, concat(CASE WHEN source = 'src3' THEN 'unit_moved' ELSE coalesce(
     CASE WHEN doc_id % 5 = 0 THEN concat('doc_', CAST(doc_id * 7 % 1000 AS string), '_masked.txt') ELSE concat('doc_', lpad(CAST(doc_id AS string), 7, '0'), '.txt') END) AS path,
   CAST({octets} AS bigint) AS size, text
 FROM (
-  SELECT doc_id, source, lang, regexp_replace(CASE WHEN instr(text, '@') > 0 THEN regexp_replace(text, '{mail}', 'person@example.com'{all}) ELSE text END, '[0-9][0-9][0-9][0-9]+', '0000'{all}) AS text
+  SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 1 THEN text ELSE regexp_replace(CASE WHEN instr(text, '@') > 0 THEN regexp_replace(replace(text, 'ent ', 'alias '), '{mail}', 'person@example.com'{all}) ELSE replace(text, 'ent ', 'alias ') END, '[0-9][0-9][0-9][0-9]+', '0000'{all}) END AS text
   FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents WHERE doc_id % 17 <> 0) AS kept
 ) AS masked
 """
