@@ -317,7 +317,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common, idf = common_shingles(docs, docs.count())
     signed = written(signatures(docs, common, idf), "signed")
     wordy = signed.where(F.size("bands") > 0)
-    copies = wordy.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"))
+    # a table, so that the join below shuffles both sides itself and can split a text that very many documents share
+    copies = written(wordy.groupBy("text_id").agg(F.min("doc_id").alias("copy_of")), "copies", narrow=True)
     first = written(wordy.join(copies.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
     pairs = written(proposals(first), "pairs", narrow=True)
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -331,7 +332,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = written(verified(rest, texts, common, idf), "links", narrow=True)
     grouped = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    own = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(copies, "text_id", "left")
+    own = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(copies.hint("merge"), "text_id", "left")
     own = own.select("doc_id", F.when(F.col("wordy"), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"))
     named = own.join(grouped.select(F.col("id").alias("copy_of"), "component"), "copy_of", "left")
     return named.groupBy("doc_id").agg(F.min(F.coalesce("component", "copy_of")).alias("class_id"), F.min("copy_of").alias("copy_of"))
