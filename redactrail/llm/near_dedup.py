@@ -22,6 +22,12 @@ unbounded group and no bucket emits all its pairs. Proposals whose samples agree
 5 standard deviations away are dropped. The best proposal of each document is verified first, on whole texts; of the
 others only those between documents that are still in different classes. Classes are connected components.
 
+The rest. What nobody proposed is compared as well: in buckets whose documents are in several classes by then, all pairs
+between classes, block against block, that agree that much and whose weights could reach the similarity are verified on
+whole texts. A bucket's largest class meets the others only, never itself. Texts come to a block once, not once a pair, and
+only links that join classes leave it, so rows grow with the documents; the comparisons within a block pair do not, in a
+family whose members are just under the similarity.
+
 Exact copies are folded into their smallest doc_id before all that, and join its class at the end.
 
 Cases. Null text and text without words: no shingles, a class of its own. Repeated rows of an id: as copies; `deduplicated`
@@ -33,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,8 @@ from redactrail.llm.components import components
 
 WORDS, SIMILARITY, COMMON = 5, 0.8, 0.4
 BANDS, ROWS, BLOCK, PROPOSALS = 20, 4, 1024, 2
+#: Documents of a block where all pairs between classes are compared: whole texts of two blocks are held at once.
+REST_BLOCK = 256
 SAMPLES = BANDS * ROWS
 #: The least share of equal samples (their low bytes) of a pair that may reach the similarity.
 AGREE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5
@@ -178,7 +187,7 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(doc_id, text_id, bands, low): 128 bits of the text's hash, a key for each band, the samples' low bytes.
+    """(doc_id, text_id, bands, low, weight): 128 bits of the text's hash, a key for each band, the samples' low bytes, all weights' sum.
 
     A text without words has no bands.
     """
@@ -196,12 +205,12 @@ def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFram
                     key ^= key >> np.uint64(31)
                 low = (out ^ (out >> np.uint64(17))).astype(np.uint8)
             i = 0
-            for doc_id, text_id, found, _ in held:
+            for doc_id, text_id, found, w in held:
                 if len(found):
-                    yield doc_id, text_id, key[i].view(np.int64).tolist(), low[i].tobytes()
+                    yield doc_id, text_id, key[i].view(np.int64).tolist(), low[i].tobytes(), float(w.sum())
                     i += 1
                 else:
-                    yield doc_id, text_id, [], b""
+                    yield doc_id, text_id, [], b"", 0.0
 
         held, size = [], 0
         for doc_id, text in each:
@@ -213,8 +222,8 @@ def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFram
                 held, size = [], 0
         yield from flush()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
-    return mapped(docs.select("doc_id", "text"), rows, schema, "doc_id long, text_id binary, bands array<long>, low binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.binary()), ("weight", pa.float64())])
+    return mapped(docs.select("doc_id", "text"), rows, schema, "doc_id long, text_id binary, bands array<long>, low binary, weight double")
 
 
 def proposals(signed: DataFrame) -> DataFrame:
@@ -311,6 +320,99 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
     return mapped(both, rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
 
 
+def _between(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a pair of blocks' rows (band, lo, hi, mine, doc_id, class, low, bands, weight): the pairs of rows that may be links.
+
+    They are in different classes, agree, have weights that could reach the similarity, and share no earlier band.
+    """
+    band, lo, hi = rows[0][:3]
+    mine, kinds, weight = (np.array([r[k] for r in rows]) for k in (3, 5, 8))
+    low = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SAMPLES)
+    bands = np.array([r[7] for r in rows], np.int64)
+    x, y = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+    found = [(x[:0], x[:0])]
+    for at in range(0, len(x), 64):
+        part = x[at : at + 64]
+        i, j = np.nonzero(kinds[part][:, None] != kinds[y][None, :])
+        i, j = part[i], y[j]
+        if lo == hi:
+            i, j = i[i < j], j[i < j]
+        close = np.minimum(weight[i], weight[j]) >= (SIMILARITY - 1e-9) * np.maximum(weight[i], weight[j])
+        i, j = i[close], j[close]
+        close = (low[i] == low[j]).sum(1) >= AGREE * SAMPLES
+        i, j = i[close], j[close]
+        first = bands[i, (bands[i] == bands[j]).argmax(1)] == band
+        found.append((i[first], j[first]))
+    i, j = (np.concatenate(each) for each in zip(*found, strict=True))
+    return i, j
+
+
+def rest_blocks(first: DataFrame, known: DataFrame) -> DataFrame:
+    """(band, lo, hi, mine, doc_id, class, low, bands, weight): of each pair of blocks the documents of pairs not settled yet."""
+    own = first.join(known.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    own = written(own.select("doc_id", F.coalesce("component", "doc_id").alias("class"), "low", "bands", "weight"), "classed")
+    rows = own.select("doc_id", "class", F.explode("bands").alias("band"))
+    per = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    # the largest class of a large bucket has blocks of its own, which come after those of the others and meet only them
+    small = F.col("n") <= REST_BLOCK
+    others = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / REST_BLOCK)).cast("int")
+    largest = F.when(small, 0).otherwise(F.ceil(F.col("top.n") / REST_BLOCK)).cast("int")
+    mixed = mixed.select("band", others.alias("others"), largest.alias("largest"), F.col("top.class").alias("top"))
+    in_largest = (F.col("class") == F.col("top")) & (F.col("largest") > 0)
+    hashed = F.xxhash64("doc_id", F.lit(3))
+    mine = F.when(in_largest, F.col("others") + F.pmod(hashed, F.greatest("largest", F.lit(1)))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(in_largest, F.col("others")).otherwise(F.col("others") + F.col("largest")) - 1)
+    placed = rows.join(mixed.hint("merge"), "band").select("band", "doc_id", mine.alias("mine"), F.explode(met).alias("other"))
+    placed = placed.select("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id")
+    placed = placed.join(own.hint("merge"), "doc_id").select("band", "lo", "hi", "mine", "doc_id", "class", "low", "bands", "weight")
+
+    def pick_open(each: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(each, key=lambda r: r[:3]):
+            held = list(group)
+            if len(held) > 1:
+                i, j = _between(held)
+                for k in np.unique(np.concatenate([i, j])).tolist():
+                    yield held[k]
+
+    return mapped(_dealt(placed), pick_open, pa.schema(_REST), _REST_SPARK)
+
+
+_REST = [("band", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("mine", pa.int32()), ("doc_id", pa.int64()), ("class", pa.int64()), ("low", pa.binary()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())]
+_REST_SPARK = "band long, lo int, hi int, mine int, doc_id long, class long, low binary, bands array<long>, weight double"
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "doc_id")
+
+
+def rest_links(blocks: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(a, b): links that join classes, from all pairs of rest_blocks(), on whole texts."""
+
+    def rows(each: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(each, key=lambda r: r[:3]):
+            held, features = [], []
+            for r in group:
+                found, tf = shingles(r[9])
+                held.append(r[:9])
+                features.append((found, weights(found, tf, common, idf)))
+            root = {r[5]: r[5] for r in held}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in zip(*map(np.ndarray.tolist, _between(held)), strict=True):
+                x, y = top(held[i][5]), top(held[j][5])
+                if x != y and weighted_jaccard(features[i], features[j]) >= SIMILARITY:
+                    root[max(x, y)] = min(x, y)
+                    yield held[i][4], held[j][4]
+
+    both = _dealt(blocks.join(texts.hint("merge"), "doc_id").select(*[name for name, _ in _REST], "text"))
+    return mapped(both, rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, copy_of): a row for each id; class_id is the least id of its class, copy_of that of its text."""
     docs = pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col).where("doc_id IS NOT NULL")
@@ -331,7 +433,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = written(verified(rest, texts, common, idf), "links", narrow=True)
-    grouped = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    as_edges = lambda found: found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    grouped = written(components(as_edges(known).union(more)), "known", narrow=True)
+    blocks = written(rest_blocks(first, grouped), "rest", narrow=True)
+    unsettled = docs.join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    last = written(rest_links(blocks, unsettled, common, idf), "links", narrow=True)
+    if not last.isEmpty():
+        grouped = components(as_edges(grouped).union(last))
     own = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(copies.hint("merge"), "text_id", "left")
     own = own.select("doc_id", F.when(F.col("wordy"), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"))
     named = own.join(grouped.select(F.col("id").alias("copy_of"), "component"), "copy_of", "left")

@@ -79,6 +79,40 @@ def test_large_buckets_are_dealt_in_blocks(documents, monkeypatch):
     assert {found[i] for i in range(120)} == {0} and all(found[i] == i for i in range(120, 360))
 
 
+def brute_force(texts):
+    weights = [(s, 1 + np.log(c)) for s, c in map(near_dedup.shingles, texts)]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.weighted_jaccard(weights[i], weights[j]) >= 0.8:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    return parent
+
+
+def family(n, seed):
+    """Pairs just over the similarity, whose members are just under it to all others."""
+    r, base, texts = random.Random(seed), prose(1200, seed).split(), []
+    for i in range(n):
+        shared = [(at, f"pair{i}x{at}") for at in r.sample(range(2, 1196, 5), 3)]
+        for member in "ab":
+            words = list(base)
+            free = [at for at in range(2, 1196, 5) if at not in dict(shared)]
+            for at, word in [*shared, *((at, f"own{i}{member}{at}") for at in r.sample(free, 13))]:
+                words[at] = word
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_links_in_families_just_under_the_similarity(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON", 2)  # all of these documents are the family: no shingle counts less
+    monkeypatch.setattr(near_dedup, "REST_BLOCK", 16)
+    texts = family(60, 3)
+    expected = brute_force(texts)
+    assert len(set(expected)) > 10
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(texts)).collect()} == dict(enumerate(expected))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, None)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
