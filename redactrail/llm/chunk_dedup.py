@@ -4,16 +4,23 @@
 
 Method. A gear hash of the last 16 bytes runs over a text's UTF-8 bytes; where its bits 8 to 8 + BITS are zero, a chunk
 ends, unless it would be shorter than LEAST bytes; chunks of MOST bytes end anyway. Ends depend on nearby bytes only, so
-after an insertion the chunks of two texts soon agree again. Chunks are compared by 64-bit digests. A digest in several
-documents is a repeated chunk; a run of neighbouring repeated chunks of at least `min_bytes` bytes is a passage (a single
-false match of digests does no harm). The first copy, of the smallest doc_id and there the first, is kept.
+after an insertion the chunks of two texts soon agree again. Shared is what another document holds in one piece: a window is
+the least run of chunks from a chunk on, or up to a chunk, that has `min_bytes` bytes, compared as a whole by a 64-bit digest.
+A window in several documents is shared, and a run of shared windows that directly follow each other is a passage. Two
+documents that share a run of chunks of at least `min_bytes` share all windows in it; phrases that are each found in
+another document share none. A false match of digests can mark one window.
+
+A passage is kept or removed as a whole: it stays where any window of it stands for the first time (smallest doc_id, there
+the first), else it goes. So each shared window, and the passage around it, stays whole in its first document, also where
+part of that passage stands in an earlier one. A passage of which each window has an earlier document, but not all the same,
+goes, too. A passage that stays is not cut by one that goes and overlaps it.
 
 A passage of n bytes is found but for the way to its first chunk end and the rest of its last chunk, some 50 bytes
 together; with min_bytes 150, shared passages of over 50 words are found and common lines and phrases are left alone.
 
-At scale. Digests are grouped with partial sums and joined back to the chunks; a digest that a third of all chunks have is
-one row after the partial sums, and its side of the join can be split by adaptive execution. Only a document's own repeated
-chunks ever come together.
+At scale. Digests are grouped with partial sums and joined back to the windows; a digest that a third of all windows have is
+one row after the partial sums, and its side of the join can be split by adaptive execution. Only a document's own shared
+windows ever come together.
 
 Cases. Null text: as the empty text, no chunks; `deduplicated` leaves it null. Repeats within one document alone are left.
 Repeated rows of an id count as one document. Null ids: not compared, left as they are. Empty table: empty result. Extra
@@ -69,20 +76,39 @@ def chunk_ends(data: bytes, starts: np.ndarray) -> list[list[int]]:
     return ends
 
 
-def chunks(df: DataFrame) -> DataFrame:
-    """(doc_id, ends, digests) of the chunks of each text of df (doc_id, text)."""
+def windows(ends: list[int], min_bytes: int) -> list[tuple[int, int]]:
+    """The least runs of chunks of min_bytes bytes from each chunk on and up to each chunk, as (start, end) in order."""
+    starts, found, at = [0, *ends[:-1]], set(), 0
+    for start in starts[: len(ends)]:
+        while at < len(ends) and ends[at] - start < min_bytes:
+            at += 1
+        if at == len(ends):
+            break
+        found.add((start, ends[at]))
+    at = 0
+    for end in ends:
+        if end >= min_bytes:
+            while end - starts[at + 1 if at + 1 < len(starts) else at] >= min_bytes and at + 1 < len(starts):
+                at += 1
+            found.add((starts[at], end))
+    return sorted(found)
+
+
+def chunks(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(doc_id, starts, ends, digests) of the windows of each text of df (doc_id, text)."""
     digest = xxhash.xxh3_64_intdigest
 
     def batch(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         sizes = [len(x) for _, x in held]
         ends = chunk_ends(b"".join(x for _, x in held), np.cumsum([0, *sizes[:-1]])) if sum(sizes) else [[] for _ in held]
-        digests = [digest(x[a:b]) for (_, x), own in zip(held, ends, strict=True) for a, b in zip([0, *own], own, strict=False)]
-        offsets = pa.array(np.cumsum([0, *map(len, ends)]), pa.int32())
-        flat = np.fromiter((e for own in ends for e in own), np.int32, len(digests))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in held], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(np.array(digests, np.uint64).view(np.int64)))],
-            names=["doc_id", "ends", "digests"],
-        )
+        over = [windows(own, min_bytes) for own in ends]
+        spans = [span for own in over for span in own]
+        offsets = pa.array(np.cumsum([0, *map(len, over)]), pa.int32())
+        at = np.repeat(np.arange(len(held)), [len(w) for w in over]).tolist()
+        digests = np.array([digest(held[i][1][a:b]) for i, (a, b) in zip(at, spans, strict=True)], np.uint64).view(np.int64)
+        both = np.array(spans, np.int32).reshape(-1, 2)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x))) for x in (both[:, 0], both[:, 1], digests)]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), *lists], names=["doc_id", "starts", "ends", "digests"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -96,34 +122,40 @@ def chunks(df: DataFrame) -> DataFrame:
         if held:
             yield batch(held)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, ends array<int>, digests array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, starts array<int>, ends array<int>, digests array<long>")
 
 
-def passages(doc_id: int, marks: list[tuple[int, int, int, int]], min_bytes: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Of a document's repeated chunks (start, end, digest, first document): all passages, and those to remove.
+def passages(doc_id: int, marks: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Of a document's shared windows (number, start, end, first document, its start, digest): all passages, and what to remove.
 
-    Both as (start, end, first document of its first chunk).
+    Both as (start, end, first document of its first window, or the document itself if the passage stays).
     """
-    found, removed = [], []
-    seen: set[int] = set()
-    run: list[tuple[int, int, int, bool]] = []
-
-    def close() -> None:
-        if run and run[-1][1] - run[0][0] >= min_bytes:
-            found.append((run[0][0], run[-1][1], run[0][2]))
-            for start, end, first, again in run:
-                if again and removed and removed[-1][1] == start:
-                    removed[-1] = (removed[-1][0], end, removed[-1][2])
-                elif again:
-                    removed.append((start, end, first))
-
-    for start, end, digest, first in sorted(set(marks)):
-        if run and run[-1][1] != start:
-            close()
-            run = []
-        run.append((start, end, first, first != doc_id or digest in seen))
-        seen.add(digest)
-    close()
+    runs: list[list[tuple[int, int, int, int, int, int]]] = []
+    for mark in sorted(set(marks)):
+        if runs and mark[0] - runs[-1][-1][0] <= 1:
+            runs[-1].append(mark)
+        else:
+            runs.append([mark])
+    found: list[tuple[int, int, int]] = []
+    gone: list[tuple[int, int, int]] = []
+    kept: list[tuple[int, int]] = []
+    for run in runs:
+        stays = any((first, at) == (doc_id, start) for _, start, _, first, at, _ in run)
+        span = run[0][1], max(m[2] for m in run), doc_id if stays else run[0][3]
+        if stays:
+            kept.append(span[:2])
+        else:
+            gone.append(span)
+        if found and span[0] < found[-1][1]:  # overlaps the one before, with other documents
+            found[-1] = (found[-1][0], max(found[-1][1], span[1]), found[-1][2])
+        else:
+            found.append(span)
+    removed: list[tuple[int, int, int]] = []
+    for start, end, first in gone:
+        parts = [(max(start, removed[-1][1]) if removed else start, end)]
+        for a, b in kept:
+            parts = [piece for x, y in parts for piece in ((x, min(y, a)), (max(x, b), y)) if piece[0] < piece[1]]
+        removed += [(x, y, first) for x, y in parts if x < y]
     return found, removed
 
 
@@ -134,15 +166,17 @@ def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
     first_docs: the documents that hold the first copies.
     """
     docs = pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col).where("doc_id IS NOT NULL")
-    cut = written(chunks(docs), "chunks")
-    rows = cut.select("doc_id", F.posexplode("digests").alias("i", "digest"), "ends")
-    rows = rows.select("doc_id", "digest", F.when(F.col("i") > 0, F.expr("ends[i - 1]")).otherwise(0).alias("start"), F.expr("ends[i]").alias("end"))
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    marked = rows.join(shared.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest", "first_doc")).alias("marks"))
+    cut = written(chunks(docs, min_bytes), "chunks")
+    rows = cut.select("doc_id", F.posexplode("digests").alias("i", "digest"), "starts", "ends")
+    rows = rows.select("doc_id", "digest", "i", F.expr("starts[i]").alias("start"), F.expr("ends[i]").alias("end"))
+    first = F.min(F.struct("doc_id", "start")).alias("first")
+    shared = rows.groupBy("digest").agg(first, F.max("doc_id").alias("last_doc")).where("first.doc_id < last_doc")
+    shared = shared.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    marked = rows.join(shared.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("i", "start", "end", "first_doc", "first_start", "digest")).alias("marks"))
 
     def each(docs: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, marks in docs:
-            found, removed = passages(doc_id, [(m["start"], m["end"], m["digest"], m["first_doc"]) for m in marks], min_bytes)
+            found, removed = passages(doc_id, [(m["i"], m["start"], m["end"], m["first_doc"], m["first_start"], m["digest"]) for m in marks])
             if found:
                 as_rows = [[{"start": a, "end": b, "first_doc": c} for a, b, c in x] for x in (found, removed)]
                 yield doc_id, sum(b - a for a, b, _ in found), sum(b - a for a, b, _ in removed), sorted({c for _, _, c in found}), *as_rows

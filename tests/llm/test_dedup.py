@@ -175,6 +175,24 @@ def test_passages_by_plain_digests(documents):
     assert {r["doc_id"]: r["repeated_bytes"] for r in chunk_dedup.repeats(documents(texts)).collect()} == expected
 
 
+def test_phrases_of_unrelated_documents_are_no_passage(documents):
+    text = prose(120, 7)
+    data = text.encode()
+    ends = chunk_dedup.chunk_ends(data, np.array([0]))[0]
+    # each chunk with its surroundings, which decide where it ends, in a document of its own; no two in the same
+    others = [f"{prose(30, 300 + i)} {data[max(0, a - 60) : b].decode()} {prose(30, 600 + i)}" for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+    texts = [*others, text]
+    assert chunk_dedup.repeats(documents(texts)).collect() == []
+    assert {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicated(documents(texts)).collect()} == dict(enumerate(texts))
+
+
+def test_first_copy_of_a_passage_has_no_holes(documents):
+    passage = prose(100, 8)
+    texts = [f"{prose(30, 400)} {passage[200:300]} {prose(30, 401)}", f"{prose(40, 402)} {passage} {prose(40, 403)}", f"{prose(40, 404)} {passage} {prose(40, 405)}"]
+    after = {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicated(documents(texts)).collect()}
+    assert after[0] == texts[0] and after[1] == texts[1] and passage[80:-80] not in after[2]
+
+
 def test_odd_rows_have_no_passages(documents):
     assert chunk_dedup.repeats(documents(ODD)).collect() == []
     assert chunk_dedup.repeats(documents(ODD).limit(0)).collect() == []
