@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactrail.functions import text as T
 
-SAMPLES, LEAST_TOKEN, MOST_MARKS = 14, 3, 4000
+SAMPLES, LEAST_TOKEN = 14, 3
 LEAST_REWROTE, LEAST_RATE = 2, 0.25
 
 
@@ -95,15 +95,17 @@ def vocabulary(mappings: DataFrame) -> DataFrame:
     return flat.withColumn("first_token", T.first_token(F.col("value"))).where("first_token IS NOT NULL")
 
 
-def marks(texts: DataFrame, vocab: DataFrame, most: int | None = MOST_MARKS, key: str = "path") -> DataFrame:
+def marks(texts: DataFrame, vocab: DataFrame, most: int | None = None, key: str = "path") -> DataFrame:
     """(path, kind, value): the values of the vocabulary that each text holds, whatever their case.
 
-    Texts and values meet in a value's first token, then the whole value is looked for; a text gets its `most` longest
-    values of a kind (None: all).
+    Texts and values meet in a value's first token; a text's candidates come together, and it is searched for all of them at
+    once. A text gets its `most` longest values of a kind (None: all).
     """
     tokens = texts.select(key, F.explode(T.vocabulary_tokens(F.col("text"))).alias("first_token"))
-    met = tokens.join(vocab, "first_token").select(key, "kind", "value")
-    found = met.join(texts.select(key, F.lower("text").alias("_text")), key).where(F.col("_text").contains(F.lower("value"))).select(key, "kind", "value")
+    met = tokens.join(vocab, "first_token").groupBy(key).agg(F.collect_set(F.struct("kind", "value")).alias("_values"))
+    both = texts.select(key, F.lower("text").alias("_text")).join(met, key)
+    held = F.filter("_values", lambda v: F.col("_text").contains(F.lower(v["value"])))
+    found = both.select(key, F.explode(held).alias("_v")).select(key, "_v.kind", "_v.value")
     if most is None:
         return found
     order = Window.partitionBy(key, "kind").orderBy(F.desc(F.length("value")), "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactrail.functions import paths as P
 
-LAYOUT_DEPTH, SIBLINGS, AUDIT_DEPTH = 4, 8, 4
+LAYOUT_DEPTH, SIBLINGS, AUDIT_DEPTH, SHARED = 4, 8, 4, 20
 
 
 def layout_names(listing: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
@@ -60,10 +60,10 @@ def variants(listing: DataFrame, ignore=P.LAYOUT) -> DataFrame:
 
 
 def folder_map(pairs: DataFrame, left_dirs: DataFrame | None = None, ignore=P.LAYOUT, partial: bool = False) -> DataFrame:
-    """(path, parent, name, out, files, state, risk, also, shared) of each source folder down to AUDIT_DEPTH.
+    """(path, parent, name, out, files, state, risk, also, n_shared, shared) of each source folder down to AUDIT_DEPTH.
 
     Pairs of equal depth vote for what a folder became; the majority wins, ties by the first pair in order, the others are
-    in `also`. shared: other folders with the same output. left_dirs (bucket) adds folders without votes, unless partial.
+    in `also`. n_shared: how many other folders have the same output; shared: the first SHARED of them. left_dirs (bucket) adds folders without votes, unless partial.
     """
     a, b = P.bucket(P.segments(F.col("left")), ignore), P.bucket(P.segments(F.col("right")), ignore)
     rows = pairs.where("right IS NOT NULL").select("left", a.alias("a"), b.alias("b")).where("size(a) = size(b) AND size(a) > 0")
@@ -82,7 +82,10 @@ def folder_map(pairs: DataFrame, left_dirs: DataFrame | None = None, ignore=P.LA
     parent = F.array_join(F.slice("folder", F.lit(1), F.size("folder") - 1), "/")
     state = F.when(F.col("out").isNull(), "none").when(F.col("out") == name, "kept").otherwise("changed")
     named = voted.select(path.alias("path"), parent.alias("parent"), name.alias("name"), "out", "files", state.alias("state"), "also")
-    claims = named.where("out IS NOT NULL").groupBy("parent", "out").agg(F.array_sort(F.collect_list("path")).alias("claimed"))
-    shared = F.coalesce(F.array_except("claimed", F.array("path")), F.array().cast("array<string>"))
-    joined = named.join(claims, ["parent", "out"], "left")
-    return joined.select("path", "parent", "name", "out", "files", "state", F.when(F.col("state") != "changed", P.looks_personal(F.col("name"))).alias("risk"), "also", shared.alias("shared"))
+    claims = named.where("out IS NOT NULL").select("parent", "out", "path")
+    turn = F.row_number().over(Window.partitionBy("parent", "out").orderBy("path"))
+    few = claims.withColumn("turn", turn).where(F.col("turn") <= SHARED + 1).groupBy("parent", "out").agg(F.array_sort(F.collect_list("path")).alias("claimed"))
+    n = claims.groupBy("parent", "out").agg(F.count("*").alias("n"))
+    shared = F.slice(F.coalesce(F.array_except("claimed", F.array("path")), F.array().cast("array<string>")), 1, SHARED)
+    joined = named.join(few, ["parent", "out"], "left").join(n, ["parent", "out"], "left").withColumn("n_shared", F.coalesce(F.col("n") - 1, F.lit(0)))
+    return joined.select("path", "parent", "name", "out", "files", "state", F.when(F.col("state") != "changed", P.looks_personal(F.col("name"))).alias("risk"), "also", "n_shared", shared.alias("shared"))

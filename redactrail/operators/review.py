@@ -18,8 +18,8 @@ def sampled(rows: DataFrame, salt: str, per_app: int = PER_APP) -> DataFrame:
     named = rows.withColumn("app", P.app(F.col("label")))
     if not per_app:
         return named.withColumn("sampled", F.lit(True))
-    drawn = Window.partitionBy("app").orderBy(F.sha2(F.concat(F.lit(salt), "app", "label"), 256), "label")
-    return named.withColumn("_turn", F.row_number().over(drawn)).withColumn("sampled", F.col("_turn") <= per_app).drop("_turn")
+    drawn = sample(rows.select("label", "left"), salt, per_app).select("label", "left", F.lit(True).alias("sampled"))
+    return named.join(drawn, ["label", "left"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(False))).select(*named.columns, "sampled")
 
 
 def sample(rows: DataFrame, salt: str, per_app: int = PER_APP) -> DataFrame:
@@ -27,10 +27,16 @@ def sample(rows: DataFrame, salt: str, per_app: int = PER_APP) -> DataFrame:
     named = rows.withColumn("app", P.app(F.col("label")))
     if not per_app:
         return named
-    drawn = Window.partitionBy("app").orderBy(F.sha2(F.concat(F.lit(salt), "app", "label"), 256), "label")
+    drawn = Window.partitionBy("app").orderBy(F.sha2(F.concat(F.lit(salt), "app", "label"), 256), "label", "left")
     return named.withColumn("_turn", F.row_number().over(drawn)).where(F.col("_turn") <= per_app).drop("_turn")
 
 
+def shown(rows: DataFrame, look: str) -> DataFrame:
+    """The sampled rows and, after them, the hits of a search that are not among them; rows: of sampled()."""
+    hits = rows.where(~F.col("sampled")).select(*rows.columns)
+    return rows.where("sampled").withColumn("found", F.lit(False)).unionByName(ranked(hits, look).drop("rank").withColumn("found", F.lit(True)))
+
+
 def dropped(rows: DataFrame, per_app: int = PER_APP) -> DataFrame:
     """How many rows of each app a sample leaves out."""
     n = rows.groupBy(P.app(F.col("label")).alias("app")).agg(F.count("*").alias("n"))
@@ -98,7 +104,7 @@ def mark_app(rows: DataFrame, sid: str, app: str, seq: int) -> DataFrame:
 
 
 def rollup(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Counts of each app, and of the run in the row whose app is null.
+    """Counts of each app with its share of the run's bytes, and of the run in the row whose app is null.
 
     rows: left, how, lb, label; state: of verdicts(), one session's.
     """
@@ -106,9 +112,11 @@ def rollup(rows: DataFrame, state: DataFrame) -> DataFrame:
     flag = lambda c: F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0)))
     folder = F.array_join(F.slice(F.split("label", "/"), F.lit(1), F.greatest(F.size(F.split("label", "/")) - 1, F.lit(0))), "/")
     named = own.withColumn("app", P.app(F.col("label"))).withColumn("folder", folder)
+    total = own.agg(F.sum("lb")).first()[0] or 0
+    share = F.round(F.sum(F.coalesce("lb", F.lit(0))) / F.lit(float(total)), 6) if total else F.lit(0.0)
     return named.rollup("app").agg(
         F.count("*").alias("files"), flag("reviewed").alias("reviewed"), flag("viewed").alias("viewed"), flag("comments").alias("comments"),
-        F.sum((F.col("how") == "missing").cast("long")).alias("missing"), F.sum(F.coalesce("lb", F.lit(0))).alias("bytes"), F.countDistinct("folder").alias("folders"),
+        F.sum((F.col("how") == "missing").cast("long")).alias("missing"), F.sum(F.coalesce("lb", F.lit(0))).alias("bytes"), F.countDistinct("folder").alias("folders"), share.alias("share"),
     )
 
 

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, worked out and kept in the folder that spark.checkpoint.dir names; one of this machine only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="redactrail-"))
-    return df.checkpoint()
+    """df as a Parquet table in the folder that spark.checkpoint.dir names, read again.
+
+    Only where none is set and all runs on this machine, a folder is made here; it goes when the program ends.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="redactrail-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from redactrail.functions import formats, text
 from redactrail.functions import paths as P
 from redactrail.operators import align, diff, layout, review
+from redactrail.operators.stages import settled
 from redactrail.plans import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,19 +47,23 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return align.prepared(synthetic.left(spark, sf_dir)), align.prepared(synthetic.right(spark, sf_dir))
 
 
+def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both trees, each masked and written once: queries read paths, sizes and texts of them several times."""
+    return settled(synthetic.left(spark, sf_dir)), settled(synthetic.right(spark, sf_dir))
+
+
 def after_exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a, b = sides(spark, sf_dir)
     pairs = align.exact(a, b)
     return align._rest(a, pairs, "left"), align._rest(b, pairs, "right")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return synthetic.left(spark, sf_dir).select("path", "text"), synthetic.right(spark, sf_dir).select("path", "text")
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(*sides(spark, sf_dir))
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rows_of(a: DataFrame, b: DataFrame) -> DataFrame:
     """Exact pairs and missing documents: left, right, how, lb, rb, label, app."""
-    a, b = sides(spark, sf_dir)
     pairs = align.exact(a, b)
     both = pairs.unionByName(align.missing(a, pairs))
     own = a.select(F.col("path").alias("left"), F.col("size").alias("lb"), "label", P.app(F.col("label")).alias("app"))
@@ -91,17 +96,25 @@ def pair_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.exact(*sides(spark, sf_dir)).select("left", "right")
 
 
-@query(f"""WITH {VIEWS}, {EXACT} SELECT a."left", b."right" FROM (SELECT bucket, min(path) AS "left" FROM lx WHERE doc_id % 40 = 0 GROUP BY bucket HAVING count(*) = 1) a
-JOIN (SELECT bucket, min(path) AS "right" FROM rx WHERE doc_id % 40 = 0 GROUP BY bucket HAVING count(*) = 1) b USING (bucket)""")
+#: A folder for each customer: a file of the same name on both sides, a renamed one, and a second renamed one in some.
+FOLDERS = """
+SELECT concat(c_mktsegment, '/{layout}/c', CAST(c_custkey AS string), '/', name) AS path, CAST(c_custkey AS bigint) AS size FROM (
+  SELECT c_custkey, c_mktsegment, 'same.txt' AS name FROM customer UNION ALL SELECT c_custkey, c_mktsegment, '{other}.txt' FROM customer
+  UNION ALL SELECT c_custkey, c_mktsegment, '{other}_too.txt' FROM customer WHERE c_custkey % 3 = 0
+) AS files
+"""
+_PARTS = "SELECT *, string_split(path, '/')[1] || '/' || string_split(path, '/')[3] AS bucket, string_split(path, '/')[4] AS base FROM ({})"
+
+
+@query(f"""WITH l AS ({_PARTS.format(FOLDERS.format(layout="raw", other="letter"))}), r AS ({_PARTS.format(FOLDERS.format(layout="files", other="page"))}), {EXACT}
+SELECT a."left", b."right" FROM (SELECT bucket, min(path) AS "left" FROM lx GROUP BY bucket HAVING count(*) = 1) a
+JOIN (SELECT bucket, min(path) AS "right" FROM rx GROUP BY bucket HAVING count(*) = 1) b USING (bucket)""")
 def pair_sole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the folders of a thinner run, in which some have one file left."""
-    thin = lambda df: df.where(F.regexp_extract("path", "doc_0*([0-9]+)", 1) != "")
-    l, r = synthetic.left(spark, sf_dir), synthetic.right(spark, sf_dir)  # noqa: E741
-    a, b = after_exact(spark, sf_dir)
-    every = F.col("doc_id") % 40 == 0
-    a = thin(a).join(l.where(every).select("path"), "path", "left_semi")
-    b = b.join(r.where(every).select("path"), "path", "left_semi")
-    return align.sole(a, b).select("left", "right")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    made = [FOLDERS.format(layout="raw", other="letter"), FOLDERS.format(layout="files", other="page")]
+    a, b = (align.prepared(spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=customer)) for sql in made)
+    pairs = align.exact(a, b)
+    return align.sole(align._rest(a, pairs, "left"), align._rest(b, pairs, "right")).select("left", "right")
 
 
 @query(f"""WITH {VIEWS}, {EXACT} SELECT a.path AS "left", b.path AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY size DESC, path) AS turn FROM lx) a
@@ -116,11 +129,11 @@ def pair_unique_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.unique_name(*after_exact(spark, sf_dir)).select("left", "right")
 
 
-#: For renamed folders the shape has to tell people apart: one folder below for each of the last two digits of an id.
+#: For renamed folders the shape has to tell people apart: two folders below, of remainders that no two of 97 * 101 share.
 PEOPLE = """
 SELECT DISTINCT concat('people/', {name}, '/', kind, '/page.txt') AS path, CAST(1 AS bigint) AS size FROM (
-  SELECT c_custkey AS id, concat('kind', CAST(c_custkey % 97 AS string)) AS kind FROM customer WHERE c_custkey <= 60
-  UNION ALL SELECT c_custkey, concat('also', CAST(c_custkey % 31 AS string)) FROM customer WHERE c_custkey <= 60 AND c_custkey % 2 = 0
+  SELECT c_custkey AS id, concat('kind', CAST(c_custkey % 97 AS string)) AS kind FROM customer
+  UNION ALL SELECT c_custkey, concat('also', CAST(c_custkey % 101 AS string)) FROM customer
 ) AS people
 """
 OURS, THEIRS = PEOPLE.format(name="concat('person', CAST(id AS string))"), PEOPLE.format(name="concat('alias', CAST(id * 7 AS string))")
@@ -192,14 +205,25 @@ def layout_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_names(both)
 
 
-@query(f"""WITH {VIEWS}, p AS (SELECT l.path AS first, l.bucket_ AS a, r.bucket_ AS b FROM l JOIN r USING (doc_id) WHERE len(l.bucket_) = len(r.bucket_)),
+_REASON = """CASE WHEN regexp_matches({name}, '[^@\\s/]+@[^@\\s/]+[.][A-Za-z]{{2,}}') THEN 'an email address'
+  WHEN starts_with(lower({name}), 'dm_') OR starts_with(lower({name}), 'dm-') OR starts_with(lower({name}), 'mpdm_') OR starts_with(lower({name}), 'mpdm-') THEN 'a chat that is called by who takes part'
+  WHEN regexp_matches({name}, '[0-9]{{9,}}') THEN 'nine digits or more in a row'
+  WHEN regexp_matches({name}, '^[A-Z]?[a-z]{{2,}}[.][A-Z]?[a-z]{{2,}}$') AND lower(string_split({name}, '.')[1]) NOT IN ({stop}) AND lower(string_split({name}, '.')[2]) NOT IN ({stop}) THEN 'a person''s name' END"""
+_STOP = ", ".join(f"'{n}'" for n in P.NOT_NAMES)
+
+
+@query(f"""WITH {VIEWS}, {EXACT}, un AS (SELECT a."left", b."right" FROM (SELECT base, min(path) AS "left" FROM lx GROUP BY base HAVING count(*) = 1) a JOIN (SELECT base, min(path) AS "right" FROM rx GROUP BY base HAVING count(*) = 1) b USING (base)),
+p AS (SELECT l.path AS first, l.bucket_ AS a, r.bucket_ AS b FROM (SELECT "left", "right" FROM px UNION ALL SELECT * FROM un) x JOIN l ON l.path = x."left" JOIN r ON r.path = x."right" WHERE len(l.bucket_) = len(r.bucket_)),
 v AS (SELECT first, array_to_string(a[1:k], '/') AS path, b[k] AS out FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE k <= len(a)),
-t AS (SELECT path, out, count(*) AS n, min(first) AS first FROM v GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, first) AS rank FROM t)
-SELECT path, max(out) FILTER (rank = 1) AS out, CAST(sum(n) AS bigint) AS files, CASE WHEN max(out) FILTER (rank = 1) = string_split(path, '/')[-1] THEN 'kept' ELSE 'changed' END AS state FROM w GROUP BY path""")
+t AS (SELECT path, out, count(*) AS n, min(first) AS first FROM v GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, first) AS rank FROM t),
+f AS (SELECT path, max(out) FILTER (rank = 1) AS out, CAST(sum(n) AS bigint) AS files, coalesce(array_to_string(list_sort(list(out) FILTER (rank > 1)), ' '), '') AS also, string_split(path, '/')[-1] AS name, array_to_string(string_split(path, '/')[1:-2], '/') AS parent FROM w GROUP BY path),
+g AS (SELECT *, CASE WHEN out = name THEN 'kept' ELSE 'changed' END AS state, list(path) OVER (PARTITION BY parent, out) AS all_ FROM f)
+SELECT path, parent, name, out, files, state, CASE WHEN state <> 'changed' THEN {_REASON.format(name="name", stop=_STOP)} END AS risk, also, len(all_) - 1 AS n_shared, array_to_string(list_sort(list_filter(all_, lambda x: x <> path))[1:20], ' ') AS shared FROM g""")
 def folder_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, r = synthetic.left(spark, sf_dir), synthetic.right(spark, sf_dir)  # noqa: E741
-    pairs = l.select("doc_id", F.col("path").alias("left")).join(r.select("doc_id", F.col("path").alias("right")), "doc_id")
-    return layout.folder_map(pairs).select("path", "out", "files", "state")
+    a, b = sides(spark, sf_dir)
+    pairs = settled(align.exact(a, b))
+    named = align.unique_name(align._rest(a, pairs, "left"), align._rest(b, pairs, "right"))
+    return layout.folder_map(pairs.union(named)).withColumns({c: F.array_join(c, " ") for c in ("also", "shared")})
 
 
 #: Folder names of all the kinds that the test of names tells apart.
@@ -208,14 +232,9 @@ SELECT CASE CAST(c_custkey % 8 AS integer) WHEN 0 THEN concat('user', CAST(c_cus
   WHEN 2 THEN concat('id', CAST(c_custkey + 1000000000 AS string)) WHEN 3 THEN concat('maria.', CASE WHEN c_custkey % 3 = 0 THEN 'jones' ELSE 'json' END) WHEN 4 THEN concat('data-', CAST(c_custkey AS string))
   WHEN 5 THEN 'Anna.Smith' WHEN 6 THEN 'SQaw.SQaw' ELSE lower(c_name) END AS name FROM customer
 """
-_STOP = ", ".join(f"'{n}'" for n in P.NOT_NAMES)
 
 
-@query(f"""SELECT name, reason, count(*) AS n FROM (SELECT name, CASE WHEN regexp_matches(name, '[^@\\s/]+@[^@\\s/]+[.][A-Za-z]{{2,}}') THEN 'an email address'
-  WHEN starts_with(lower(name), 'dm_') OR starts_with(lower(name), 'dm-') OR starts_with(lower(name), 'mpdm_') OR starts_with(lower(name), 'mpdm-') THEN 'a conversation, named after the people in it'
-  WHEN regexp_matches(name, '[0-9]{{9,}}') THEN 'a long number — an id, a phone or an account'
-  WHEN regexp_matches(name, '^[A-Z]?[a-z]{{2,}}[.][A-Z]?[a-z]{{2,}}$') AND lower(string_split(name, '.')[1]) NOT IN ({_STOP}) AND lower(string_split(name, '.')[2]) NOT IN ({_STOP}) THEN 'a person''s name' END AS reason FROM ({NAMES}))
-WHERE reason IS NOT NULL GROUP BY name, reason""")
+@query(f"SELECT name, reason, count(*) AS n FROM (SELECT name, {_REASON.format(name='name', stop=_STOP)} AS reason FROM ({NAMES})) WHERE reason IS NOT NULL GROUP BY name, reason")
 def personal_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     names = spark.sql(NAMES.replace("FROM customer", "FROM {customer}"), customer=customer)
@@ -225,12 +244,20 @@ def personal_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {VIEWS}, {EXACT}, {ROWS}, b AS (SELECT rv."left", rv."right", rv.how, x.text AS a, y.text AS b FROM rv JOIN l x ON x.path = rv."left" LEFT JOIN r y ON y.path = rv."right"),
 ta AS (SELECT "left", unnest({TOKENS.format("a")}) AS token FROM b WHERE "right" IS NOT NULL), tb AS (SELECT "left", unnest({TOKENS.format("b")}) AS token FROM b WHERE "right" IS NOT NULL),
-gone AS (SELECT "left", count(*) AS n FROM ta ANTI JOIN tb USING ("left", token) GROUP BY 1), new_ AS (SELECT "left", count(*) AS n FROM tb ANTI JOIN ta USING ("left", token) GROUP BY 1)
+gone AS (SELECT "left", count(*) AS n, list_sort(list(token))[1:14] AS some FROM ta ANTI JOIN tb USING ("left", token) GROUP BY 1), new_ AS (SELECT "left", count(*) AS n, list_sort(list(token))[1:14] AS some FROM tb ANTI JOIN ta USING ("left", token) GROUP BY 1)
 SELECT b."left", how, CAST(strlen(a) AS bigint) AS left_bytes, CAST(strlen(b) AS bigint) AS right_bytes, CAST(length(a) AS bigint) AS left_chars, CAST(length(b) AS bigint) AS right_chars,
-CASE WHEN "right" IS NOT NULL THEN coalesce(gone.n, 0) END AS removed, CASE WHEN "right" IS NOT NULL THEN coalesce(new_.n, 0) END AS added, CASE WHEN "right" IS NOT NULL THEN a = b END AS identical
+CASE WHEN "right" IS NOT NULL THEN coalesce(gone.n, 0) END AS removed, CASE WHEN "right" IS NOT NULL THEN coalesce(new_.n, 0) END AS added, CASE WHEN "right" IS NOT NULL THEN a = b END AS identical,
+CASE WHEN "right" IS NOT NULL THEN coalesce(array_to_string(gone.some, ' '), '') END AS removed_sample, CASE WHEN "right" IS NOT NULL THEN coalesce(array_to_string(new_.some, ' '), '') END AS added_sample
 FROM b LEFT JOIN gone ON gone."left" = b."left" LEFT JOIN new_ ON new_."left" = b."left\"""")
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.metrics(rows(spark, sf_dir).select("left", "right", "how"), *texts(spark, sf_dir)).drop("removed_sample", "added_sample")
+    a, b = trees(spark, sf_dir)
+    found = diff.metrics(rows_of(align.prepared(a), align.prepared(b)).select("left", "right", "how"), a.select("path", "text"), b.select("path", "text"))
+    return found.withColumns({c: F.array_join(c, " ") for c in ("removed_sample", "added_sample")})
+
+
+def learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = trees(spark, sf_dir)
+    return diff.pair_tokens(rows_of(align.prepared(a), align.prepared(b)), a.select("path", "text"), b.select("path", "text"))
 
 
 _SETS = f"""ta AS (SELECT rv.app, "left", unnest({TOKENS.format("x.text")}) AS token FROM rv JOIN l x ON x.path = rv."left" WHERE "right" IS NOT NULL),
@@ -241,17 +268,19 @@ _LEARNED = f"WITH {VIEWS}, {EXACT}, {ROWS}, {_SETS}, lc AS (SELECT app, token, c
 @query(f"{_LEARNED} SELECT token, CAST(sum(rewrote) AS bigint) AS n FROM lc GROUP BY token HAVING sum(rewrote) > 0 ORDER BY n DESC, token LIMIT 100")
 def removed_tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of the 100 tokens that most pairs lost."""
-    return diff.removed_tokens(rows(spark, sf_dir).where("right IS NOT NULL"), *texts(spark, sf_dir)).orderBy(F.desc("n"), "token").limit(100)
+    a, b = trees(spark, sf_dir)
+    pairs = rows_of(align.prepared(a), align.prepared(b)).where("right IS NOT NULL")
+    return diff.removed_tokens(pairs, a.select("path", "text"), b.select("path", "text")).orderBy(F.desc("n"), "token").limit(100)
 
 
 @query(f"{_LEARNED} SELECT app, token, rewrote, kept FROM lc")
 def learned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.learned(diff.pair_tokens(rows(spark, sf_dir), *texts(spark, sf_dir)))
+    return diff.learned(learning(spark, sf_dir))
 
 
 @query(f"{_LEARNED} SELECT app, token, round(rewrote / (rewrote + kept), 6) AS rate FROM lc WHERE rewrote >= 2 AND kept > 0 AND rewrote / (rewrote + kept) >= 0.25")
 def derived_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.leaks(diff.learned(diff.pair_tokens(rows(spark, sf_dir), *texts(spark, sf_dir))))
+    return diff.leaks(diff.learned(learning(spark, sf_dir)))
 
 
 #: A table of substitutions: words of the benchmark, some of them replaced, some found but left alone.
@@ -269,7 +298,7 @@ SELECT DISTINCT path, kind, value FROM t JOIN v USING (first_token) WHERE contai
 def vocab_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     mappings = spark.sql(MAPPINGS.format(words="explode(split(text, '[^A-Za-z0-9]+'))").replace("FROM benchmark", "FROM {benchmark}"), benchmark=benchmark)
-    return diff.marks(texts(spark, sf_dir)[1], diff.vocabulary(mappings), most=None)
+    return diff.marks(trees(spark, sf_dir)[1].select("path", "text"), diff.vocabulary(mappings))
 
 
 _DRAWN = "row_number() OVER (PARTITION BY app ORDER BY sha256('salt' || app || label), label)"
@@ -312,15 +341,16 @@ def verdict_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VIEWS}, {EXACT}, {ROWS}, {_STATE} SELECT app, count(*) AS files, CAST(sum(coalesce(CAST(reviewed AS integer), 0)) AS bigint) AS reviewed, CAST(sum(coalesce(CAST(viewed AS integer), 0)) AS bigint) AS viewed,
-CAST(sum(coalesce(n_comments, 0)) AS bigint) AS comments, CAST(sum(CAST(how = 'missing' AS integer)) AS bigint) AS missing, CAST(sum(lb) AS bigint) AS bytes, count(DISTINCT regexp_replace(label, '/[^/]*$', '')) AS folders
+CAST(sum(coalesce(n_comments, 0)) AS bigint) AS comments, CAST(sum(CAST(how = 'missing' AS integer)) AS bigint) AS missing, CAST(sum(lb) AS bigint) AS bytes, count(DISTINCT regexp_replace(label, '/[^/]*$', '')) AS folders,
+round(CAST(sum(lb) AS double) / (SELECT sum(lb) FROM rv), 6) AS share
 FROM rv LEFT JOIN (SELECT * FROM st WHERE viewed OR reviewed OR n_comments > 0) USING ("left") GROUP BY ROLLUP (app)""")
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.rollup(rows(spark, sf_dir), review.verdicts(log(spark, sf_dir)))
 
 
-#: Documents of lines of JSON, every tenth broken and every seventh empty.
+#: Documents of up to 100 lines of JSON, every tenth broken and every seventh empty.
 LINES = """
-SELECT user_id % 50 AS doc, event_id, CASE WHEN event_id % 10 = 0 THEN '{broken' WHEN event_id % 7 = 0 THEN '' ELSE props END AS line FROM events
+SELECT CAST(floor(event_id / 100) AS bigint) AS doc, event_id, CASE WHEN event_id % 10 = 0 THEN '{broken' WHEN event_id % 7 = 0 THEN '' ELSE props END AS line FROM events
 """
 
 
@@ -332,10 +362,45 @@ def jsonl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.jsonl_records(docs, "doc").select("doc", "record_no", "bad")
 
 
-@query()
+def _replaced(value: str, steps) -> str:
+    for pattern, to in steps:
+        value = "regexp_replace({}, '{}', {}, 'g')".format(value, pattern, " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in to) or "''")
+    return value
+
+
+#: The entities that pages have.
+_SHOWN = _replaced("html", formats.HTML_STEPS)
+for _entity, _sign in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+    _SHOWN = f"replace({_SHOWN}, '{_entity}', '{_sign}')"
+_SHOWN = _replaced(_SHOWN, formats.BLANK_STEPS)
+
+
+@query(f"SELECT page_id, CAST(length(t) AS integer) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {_SHOWN} AS t FROM pages)")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.length(formats.html_text(F.col("html"))).alias("n_chars"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", formats.html_text(F.col("html")).alias("t"))
+    return pages.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+#: Turns of conversations as mails: the source's in base64, the output's as it is, its digits replaced in every second one.
+_TURNS = """
+SELECT concat('mail', CAST(conv_id AS string), '_', CAST(turn AS string), '.eml') AS path, coalesce(role, '') AS role, coalesce(text, '') AS a,
+  CASE WHEN turn % 2 = 0 THEN regexp_replace(coalesce(text, ''), '[0-9]+', 'number'{all}) ELSE coalesce(text, '') END AS b FROM conversations
+"""
+
+
+@query(f"""WITH t AS ({_TURNS.format(all=", 'g'")}), s AS (SELECT path, {TOKENS.format("a")} AS a, {TOKENS.format("b")} AS b FROM t)
+SELECT path AS "left", CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS bigint) AS removed, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x) AND x <> '8bit')) AS bigint) AS added FROM s""")
+def extract_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What mails say differs, though their bytes have nothing in common."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    mails = spark.sql(_TURNS.format(all="").replace("FROM conversations", "FROM {conversations}"), conversations=turns)
+    head = F.concat(F.lit("Subject: turn\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: same8\n\n"))
+    encoded = F.encode(F.concat(F.regexp_replace(head, "same8", "base64"), F.base64(F.encode("a", "UTF-8")), F.lit("\n")), "UTF-8")
+    plain = F.encode(F.concat(F.regexp_replace(head, "same8", "8bit"), F.col("b")), "UTF-8")
+    side = lambda data: mails.select("path", formats.document_text(F.col("path"), data).alias("text"))
+    pairs = mails.select(F.col("path").alias("left"), F.col("path").alias("right"), F.lit("exact").alias("how"))
+    found = diff.metrics(pairs, side(encoded), side(plain))
+    return found.select("left", (F.col("removed") - 1).alias("removed"), (F.col("added") - 1).alias("added"))
 
 
 @query()
