@@ -5,7 +5,7 @@
 Method. A gear hash of the last 16 bytes runs over a text's UTF-8 bytes; where its bits 8 to 8 + BITS are zero, a chunk
 ends, unless it would be shorter than LEAST bytes; chunks of MOST bytes end anyway. Ends depend on nearby bytes only, so
 after an insertion the chunks of two texts soon agree again. Shared is what another document holds in one piece: a window is
-the least run of chunks from a chunk on, or up to a chunk, that has `min_bytes` bytes, compared as a whole by a 64-bit digest.
+the least run of chunks from a chunk on that has `min_bytes` bytes, compared as a whole by a 64-bit digest.
 A window in several documents is shared, and a run of shared windows that directly follow each other is a passage. Two
 documents that share a run of chunks of at least `min_bytes` share all windows in it; phrases that are each found in
 another document share none. A false match of digests can mark one window.
@@ -15,15 +15,16 @@ the first), else it goes. So each shared window, and the passage around it, stay
 part of that passage stands in an earlier one. A passage of which each window has an earlier document, but not all the same,
 goes, too. A passage that stays is not cut by one that goes and overlaps it.
 
-A passage of n bytes is found but for the way to its first chunk end and the rest of its last chunk, some 50 bytes
+A passage of n bytes is found but for the way to its first chunk end and, at its end, less than two chunks, some 70 bytes
 together; with min_bytes 150, shared passages of over 50 words are found and common lines and phrases are left alone.
 
-At scale. Digests are grouped with partial sums and joined back to the windows; a digest that a third of all windows have is
-one row after the partial sums, and its side of the join can be split by adaptive execution. Only a document's own shared
-windows ever come together.
+At scale. Digests are grouped with partial sums, and those that are shared are written before they are joined back to the
+windows: so the join shuffles both sides itself, and adaptive execution can split a digest that a third of all windows have.
+Only a document's own shared windows ever come together.
 
 Cases. Null text: as the empty text, no chunks; `deduplicated` leaves it null. Repeats within one document alone are left.
-Repeated rows of an id count as one document. Null ids: not compared, left as they are. Empty table: empty result. Extra
+Repeated rows of an id count as one document. Null ids: not compared, left as they are. Ids that are no whole numbers:
+ValueError. Empty table: empty result. Extra
 columns are not read by `repeats` and are kept by `deduplicated`.
 """
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, quoted, written
+from redactrail.llm.common import mapped, pick, quoted, unused, whole, written
 
 BITS, LEAST, MOST, MIN_BYTES = 4, 16, 96, 150
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -77,21 +78,15 @@ def chunk_ends(data: bytes, starts: np.ndarray) -> list[list[int]]:
 
 
 def windows(ends: list[int], min_bytes: int) -> list[tuple[int, int]]:
-    """The least runs of chunks of min_bytes bytes from each chunk on and up to each chunk, as (start, end) in order."""
-    starts, found, at = [0, *ends[:-1]], set(), 0
-    for start in starts[: len(ends)]:
+    """The least run of chunks of min_bytes bytes from each chunk on, as (start, end) in order."""
+    found, at = [], 0
+    for start in [0, *ends[:-1]]:
         while at < len(ends) and ends[at] - start < min_bytes:
             at += 1
         if at == len(ends):
             break
-        found.add((start, ends[at]))
-    at = 0
-    for end in ends:
-        if end >= min_bytes:
-            while end - starts[at + 1 if at + 1 < len(starts) else at] >= min_bytes and at + 1 < len(starts):
-                at += 1
-            found.add((starts[at], end))
-    return sorted(found)
+        found.append((start, ends[at]))
+    return found
 
 
 def chunks(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -165,13 +160,14 @@ def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
     spans: the passages as (start, end, first_doc) in UTF-8 bytes; removed: those of them that are not the first copy;
     first_docs: the documents that hold the first copies.
     """
-    docs = pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col).where("doc_id IS NOT NULL")
+    docs = pick(df, doc_id=whole(df, id_col), text=text_col).where("doc_id IS NOT NULL")
     cut = written(chunks(docs, min_bytes), "chunks")
     rows = cut.select("doc_id", F.posexplode("digests").alias("i", "digest"), "starts", "ends")
     rows = rows.select("doc_id", "digest", "i", F.expr("starts[i]").alias("start"), F.expr("ends[i]").alias("end"))
     first = F.min(F.struct("doc_id", "start")).alias("first")
     shared = rows.groupBy("digest").agg(first, F.max("doc_id").alias("last_doc")).where("first.doc_id < last_doc")
     shared = shared.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    shared = written(shared, "shared")
     marked = rows.join(shared.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("i", "start", "end", "first_doc", "first_start", "digest")).alias("marks"))
 
     def each(docs: Iterator[tuple]) -> Iterator[tuple]:
@@ -189,7 +185,8 @@ def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
 
 def deduplicated(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """df with all but the first copies of passages cut out of the texts; a column size_col, if any, counts characters anew."""
-    cuts = written(repeats(df, min_bytes, id_col, text_col).where("removed_bytes > 0").select(F.col("doc_id").alias("_cut_doc"), F.col("removed").alias("_cuts")), "cuts")
+    cut_doc, own_cuts, fresh_text = (unused(name, df) for name in ("cut_doc", "cuts", "fresh_text"))
+    cuts = written(repeats(df, min_bytes, id_col, text_col).where("removed_bytes > 0").select(F.col("doc_id").alias(cut_doc), F.col("removed").alias(own_cuts)), "cuts")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -204,14 +201,14 @@ def deduplicated(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_i
 
         return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    joined = df.join(cuts.hint("merge"), F.col(quoted(id_col)).cast("long") == F.col("_cut_doc"), "left")
-    fresh = joined.withColumn("_text", F.when(F.col("_cuts").isNull(), F.col(quoted(text_col))).otherwise(without(F.col(quoted(text_col)), F.col("_cuts"))))
+    joined = df.join(cuts.hint("merge"), whole(df, id_col) == F.col(cut_doc), "left")
+    fresh = joined.withColumn(fresh_text, F.when(F.col(own_cuts).isNull(), F.col(quoted(text_col))).otherwise(without(F.col(quoted(text_col)), F.col(own_cuts))))
     columns = []
     for c in df.columns:
         if c == text_col:
-            columns.append(F.col("_text").alias(c))
+            columns.append(F.col(fresh_text).alias(c))
         elif c == size_col:
-            columns.append(F.when(F.col("_cuts").isNull(), F.col(quoted(c))).otherwise(F.length("_text").cast(df.schema[c].dataType)).alias(c))
+            columns.append(F.when(F.col(own_cuts).isNull(), F.col(quoted(c))).otherwise(F.length(fresh_text).cast(df.schema[c].dataType)).alias(c))
         else:
             columns.append(F.col(quoted(c)))
     return fresh.select(*columns)

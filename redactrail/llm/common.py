@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Unicode's White_Space characters, as a character class of `re`.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
@@ -52,28 +55,72 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(quoted(c)) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def whole(df: DataFrame, id_col: str) -> Column:
+    """An id column as 64-bit integers; ValueError for other than whole numbers, which a cast would turn into nulls."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be a whole number")
+    return F.col(quoted(id_col)).cast("long")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has, in any case of letters."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share: the one spark.checkpoint.dir names.
 
-    Only where that is unset, as in tests, a folder of this machine is made and set.
+    Only where that is unset and all runs on this machine, as in tests, a folder is made here and set; it goes at the end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="redactrail-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of working tables that are still there.
+WORKING: set[str] = set()
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor.
 
-    narrow: an eighth of the shuffle partitions, for tables of a few numbers a row, which would be many tiny files.
+    narrow: an eighth of the shuffle partitions, for tables of a few numbers a row, which would be many tiny files. The
+    table stays until forget() or clean(), for what is made of it may be read any time.
     """
     path = shared_folder(df.sparkSession, what)
     if narrow:
         df = df.coalesce(max(8, shuffle_partitions(df.sparkSession) // 8))
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    WORKING.add(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.working_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    WORKING.discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() of which nothing is read any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.working_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all working tables of this program, once its results are written or collected."""
+    for path in list(WORKING):
+        _delete(spark, path)
 
 
 def mapped(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, spark_schema: str, flush: int = 4096, flush_bytes: int = 16 << 20) -> DataFrame:
