@@ -1,8 +1,9 @@
 """Connected components of an edge table that no driver ever holds: alternating large-star and small-star rounds.
 
 Each round hangs every vertex under the smallest it knows; stars merge in a few rounds, their number growing with the
-logarithm of the largest component. Edges of a round are a written table, so lost executors cost a round at most. The joins
-on a vertex with very many edges are left to adaptive skew handling.
+logarithm of the largest component. Edges of a round are a written table, so lost executors cost a round at most. So are
+the least neighbours, else the joins would use the partitions that these were summed in; this way the joins shuffle both
+sides themselves, and adaptive execution can split a vertex with very many edges.
 
 Cases. Null ends and loops are dropped, repeated edges count once. Empty table: empty result.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import written
+from redactrail.llm.common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,18 +25,26 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == 0 or state == before:
             break
         before = state
-        now = written(_small_star(_large_star(now)), "edges", narrow=True)
+        least: list[DataFrame] = []
+        then = written(_small_star(_large_star(now, least), least), "edges", narrow=True)
+        forget(now, *least)
+        now = then
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Every neighbour of a vertex that is larger than it, under the least; adds the working table it needs to `tables`."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", narrow=True)
+    tables.append(least)
+    return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    under = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Every smaller neighbour of a vertex, and the vertex, under the least."""
+    edges = written(edges, "stars", narrow=True)  # read twice
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
+    tables += [edges, least]
+    under = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return under.union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -3,23 +3,26 @@
 `classes` gives every document its class, `deduplicated` keeps one document of each class.
 
 Weights. A document's shingles are its runs of five words (the whole text, if it has fewer). A shingle's weight is
-(1 + ln tf) * idf, with idf = ln(N / df) / ln(N / d) for shingles in more than d = COMMON * N of the N documents and 1 for
-all others: what stands in nearly all documents counts less, whereas a family of copies, which may be a third of all
-documents, doesn't lose similarity by being large. Only the shingles
-in more than d documents must be known by name. Each is in more than that share of the documents of some task, so the
-tasks' own frequent shingles are a complete list of candidates (one for COMMON of a document's shingles and task at most),
-which a second pass counts exactly over all documents.
+(1 + ln tf) * idf, with idf = (1 + ln(N / df) / ln(1 / COMMON)) / 2 for a shingle in df of all N documents, COMMON * N at
+least; rarer ones have the idf of that share, 1. So idf falls smoothly from 1 to 1/2 with the share of documents, and
+depends on nothing else, whatever the size of the corpus. As weights differ by a factor of 2 at most, pairs of plain
+similarity 8/9 or more are links whatever is common, and pairs below 2/3 never.
+
+Only shingles in more than COMMON * N documents must be known by name, and there are at most 1 / COMMON times as many as a
+document has on average: a bound that doesn't grow with the corpus. Each task counts its documents in chunks and lets go of
+what at most COMMON / 2 of a chunk's documents hold; the sums of what is left, over all tasks, miss at most half of COMMON,
+so they are a complete list of candidates, twice that bound at most, which a second pass counts exactly over all documents.
 
 Samples. For a shingle x and sample k, r and c are Gamma(2, 1) and b uniform; with weight w, t = floor(ln w / r + b) and
 ln a = ln c - r (t - b) - r; the shingle of least a is the sample, with its t. The draws come from a table of 2**16 triples
 in order of a at weight 1, indexed by the top bits of a 64-bit mix of x and k whose other bits break ties: so the sample
-among weights of 1, nearly all, is the least mix, and a is worked out for the others only.
+among weights of 1, most of them, is the least mix, and a is worked out for the others only.
 
 Candidates. BANDS bands of ROWS samples: a pair of similarity 0.8 meets in no band with a chance of 3e-5. In a bucket each
 document proposes its nearest others by the share of equal samples, and the bucket's most central document; buckets over
 BLOCK documents are compared in blocks, each with itself and with a block of the most central, so that no task gets an
 unbounded group and no bucket emits all its pairs. Proposals whose samples agree so little that a similarity of 0.8 is
-5 standard deviations away are dropped. The best proposal of each document is verified first, on whole texts; of the
+5 standard deviations away are dropped (of links, 3 in ten million). The best proposal of each document is verified first, on whole texts; of the
 others only those between documents that are still in different classes. Classes are connected components.
 
 The rest. What nobody proposed is compared as well: in buckets whose documents are in several classes by then, all pairs
@@ -28,11 +31,13 @@ whole texts. A bucket's largest class meets the others only, never itself. Texts
 only links that join classes leave it, so rows grow with the documents; the comparisons within a block pair do not, in a
 family whose members are just under the similarity.
 
-Exact copies are folded into their smallest doc_id before all that, and join its class at the end.
+Exact copies are folded into one text before all that, named by its smallest doc_id, and join its class at the end.
 
-Cases. Null text and text without words: no shingles, a class of its own. Repeated rows of an id: as copies; `deduplicated`
-keeps one row. Null document ids: no class, not kept. Ties: the smaller doc_id. Empty table: empty result. Extra columns
-are not read by `classes` and are kept by `deduplicated`.
+Cases. Null text and text without words: no shingles, a class of its own. Repeated rows of an id with the same text: as
+copies; `deduplicated` keeps one row. An id with several different texts: each text has a class, and `classes` gives the id
+the least of them; `deduplicated` drops only the rows whose own text is a copy. Null document ids: not compared; no row in
+`classes`, kept by `deduplicated`. Ids that are no whole numbers: ValueError. Ties: the smaller doc_id. Empty table: empty
+result. Extra columns are not read by `classes` and are kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -43,15 +48,16 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, quoted, shuffle_partitions, word_hashes, written
+from redactrail.llm.common import forget, mapped, pick, quoted, shuffle_partitions, unused, whole, word_hashes, written
 from redactrail.llm.components import components
 
-WORDS, SIMILARITY, COMMON = 5, 0.8, 0.4
+WORDS, SIMILARITY, COMMON = 5, 0.8, 0.001
 BANDS, ROWS, BLOCK, PROPOSALS = 20, 4, 1024, 2
+#: Shingles that a task counts at once, and into how many groups the partners of a document are dealt for verification.
+CHUNK_SHINGLES, FANOUT = 1 << 22, 1024
 #: Documents of a block where all pairs between classes are compared: whole texts of two blocks are held at once.
 REST_BLOCK = 256
 SAMPLES = BANDS * ROWS
@@ -118,24 +124,27 @@ def samples(found: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     r, ln_c, b, unit_a = draws()
     other = np.flatnonzero(w != 1)
     owner = np.searchsorted(starts, other, side="right") - 1
-    ln_w, top = np.log(w[other]), np.uint64(64 - TABLE_BITS)
+    ln_w, top, none = np.log(w[other]), np.uint64(64 - TABLE_BITS), np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.empty((len(starts), SAMPLES), np.uint64)
-    weighted = np.flatnonzero(np.bincount(owner, minlength=len(starts)))
     group = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(other) else other
+    weighted, many = owner[group], np.diff(np.append(group, len(other)))
     for k, key in enumerate(keys()):
         mixed = mix(found, key)
         special = mixed[other]
-        mixed[other] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        mixed[other] = none
         out[:, k] = np.minimum.reduceat(mixed, starts)
         if len(other):
             slot = (special >> top).astype(np.int64)
             t = np.floor(ln_w / r[slot] + b[slot])
             ln_a = ln_c[slot] - r[slot] * (t - b[slot]) - r[slot]
-            order = np.lexsort((special, ln_a, owner))[group]  # the least of each document
+            # the least of each document, ties to the least mix
+            tied = np.where(ln_a == np.repeat(np.minimum.reduceat(ln_a, group), many), special, none)
+            best = np.flatnonzero(tied == np.repeat(np.minimum.reduceat(tied, group), many))
+            best = best[np.flatnonzero(np.append(True, owner[best][1:] != owner[best][:-1]))]
             least = out[weighted, k]
-            unit = np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), np.inf, unit_a[(least >> top).astype(np.int64)])
-            wins = (ln_a[order] < unit) | ((ln_a[order] == unit) & (special[order] < least))
-            name = special[order] + (t[order].astype(np.int64) * 0x5851F42D4C957F2D).astype(np.uint64)
+            unit = np.where(least == none, np.inf, unit_a[(least >> top).astype(np.int64)])
+            wins = (ln_a[best] < unit) | ((ln_a[best] == unit) & (special[best] < least))
+            name = special[best] + (t[best].astype(np.int64) * 0x5851F42D4C957F2D).astype(np.uint64)
             out[weighted, k] = np.where(wins, name, least)
     return out
 
@@ -143,53 +152,60 @@ def samples(found: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in more than COMMON of all documents, in order, and their idf."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, size = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            every = np.concatenate(held)
-            cell = (every >> np.uint64(43)).astype(np.int32)  # 2**21 cells: few shingles share one with a frequent one
-            every = every[(np.bincount(cell, minlength=1 << 21) > COMMON * n)[cell]]
-            found, df = np.unique(every, return_counts=True)
-            return pa.record_batch([pa.array(found[df > COMMON * n].view(np.int64))], names=["shingle"])
-
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """(documents, their shingles) in chunks of CHUNK_SHINGLES to twice as many; only a small task's one has fewer."""
+        ready, held, size = [], [], 0
         for batch in batches:
             for text in batch.column(0):
                 held.append(shingles(text.as_py())[0])
-                n, size = n + 1, size + len(held[-1])
-                if size >= 1 << 20 and n >= 1000:
-                    yield flush()
-                    held, n, size = [], 0, 0
-        if n:
-            yield flush()
+                size += len(held[-1])
+                if size >= CHUNK_SHINGLES:
+                    if ready:
+                        yield len(ready), np.concatenate(ready)
+                    ready, held, size = held, [], 0
+        if ready or held:
+            yield len(ready) + len(held), np.concatenate(ready + held)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, every in chunks(batches):
+            least = COMMON / 2 * n
+            cell = (every >> np.uint64(42)).astype(np.int32)  # 2**22 cells: few shingles share one with a frequent one
+            every = every[(np.bincount(cell, minlength=1 << 22) > least)[cell]]
+            found, df = np.unique(every, return_counts=True)
+            found, df = found[df > least], df[df > least]
+            for at in range(0, len(found), 1 << 16):
+                yield pa.record_batch([pa.array(found[at : at + (1 << 16)].view(np.int64)), pa.array(df[at : at + (1 << 16)])], names=["shingle", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
         df = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py())[0]
-                at = np.minimum(np.searchsorted(found, wanted), max(0, len(found) - 1))
-                if len(found):
-                    df += found[at] == wanted
-        yield pa.record_batch([pa.array(wanted.view(np.int64)), pa.array(df)], names=["shingle", "df"])
+        for _, every in chunks(batches):
+            at = np.minimum(np.searchsorted(wanted, every), len(wanted) - 1)
+            df += np.bincount(at[wanted[at] == every], minlength=len(wanted))
+        met = np.flatnonzero(df)
+        for at in range(0, len(met), 1 << 16):
+            part = met[at : at + (1 << 16)]
+            yield pa.record_batch([pa.array(wanted[part].view(np.int64)), pa.array(df[part])], names=["shingle", "n"])
+
+    def summed(texts: DataFrame, f, least: float) -> tuple[np.ndarray, np.ndarray]:
+        rows = texts.mapInArrow(f, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+        found = rows.column("shingle").to_numpy().view(np.uint64)
+        order = np.argsort(found)
+        return found[order], rows.column("n").to_numpy()[order]
 
     texts = docs.select("text")
-    listed = texts.mapInArrow(candidates, "shingle long").distinct().toPandas()["shingle"].to_numpy(np.int64)
-    wanted = np.sort(listed.view(np.uint64))
+    wanted, _ = summed(texts, candidates, COMMON / 2 * total)
     if not len(wanted):
         return wanted, np.zeros(0)
-    counted = texts.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).toPandas()
-    counted = counted[counted["df"] > COMMON * total]
-    found = counted["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(found)
-    idf = np.log(total / counted["df"].to_numpy(float)[order]) / np.log(1 / COMMON)
-    return found[order], np.maximum(idf, 0.01)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # 2 / COMMON times a document's shingles at most
+    found, df = summed(texts, count, COMMON * total)
+    return found, (1 + np.log(total / df) / np.log(1 / COMMON)) / 2
 
 
-def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(doc_id, text_id, bands, low, weight): 128 bits of the text's hash, a key for each band, the samples' low bytes, all weights' sum.
+def signatures(docs: DataFrame, idf) -> DataFrame:
+    """(doc_id, text_id, bands, low, weight): the text's digest, a key for each band, the samples' low bytes, all weights' sum.
 
-    A text without words has no bands.
+    A text without words has no bands. idf: a broadcast of common_shingles().
     """
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
@@ -197,7 +213,11 @@ def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFram
             full = [x for x in held if len(x[2])]
             if full:
                 sizes = [len(x[2]) for x in full]
-                out = samples(np.concatenate([x[2] for x in full]), np.concatenate([x[3] for x in full]), np.cumsum([0, *sizes[:-1]]))
+                found = np.concatenate([x[2] for x in full])
+                w = weights(found, np.concatenate([x[3] for x in full]), *idf.value)
+                starts = np.cumsum([0, *sizes[:-1]])
+                totals = np.add.reduceat(w, starts)
+                out = samples(found, w, starts)
                 by_band = out.reshape(len(full), BANDS, ROWS)
                 key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
                 for i in range(ROWS):
@@ -205,32 +225,37 @@ def signatures(docs: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFram
                     key ^= key >> np.uint64(31)
                 low = (out ^ (out >> np.uint64(17))).astype(np.uint8)
             i = 0
-            for doc_id, text_id, found, w in held:
+            for doc_id, text_id, found, _ in held:
                 if len(found):
-                    yield doc_id, text_id, key[i].view(np.int64).tolist(), low[i].tobytes(), float(w.sum())
+                    yield doc_id, text_id, key[i].view(np.int64).tolist(), low[i].tobytes(), float(totals[i])
                     i += 1
                 else:
                     yield doc_id, text_id, [], b"", 0.0
 
         held, size = [], 0
-        for doc_id, text in each:
-            found, tf = shingles(text)
-            held.append((doc_id, xxhash.xxh3_128_digest(text or ""), found, weights(found, tf, common, idf)))
-            size += len(found)
+        for doc_id, text_id, text in each:
+            held.append((doc_id, text_id, *shingles(text)))
+            size += len(held[-1][2])
             if size >= 1 << 18:
                 yield from flush()
                 held, size = [], 0
         yield from flush()
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.binary()), ("weight", pa.float64())])
-    return mapped(docs.select("doc_id", "text"), rows, schema, "doc_id long, text_id binary, bands array<long>, low binary, weight double")
+    return mapped(docs.select("doc_id", digest(F.col("text")), "text"), rows, schema, "doc_id long, text_id binary, bands array<long>, low binary, weight double")
+
+
+def digest(text) -> Column:
+    """128 bits of a text; a null's as an empty text's."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def proposals(signed: DataFrame) -> DataFrame:
     """(a, b, agree): pairs a < b of documents that share a band and may be near, some for each document and band."""
     rows = signed.where(F.size("bands") > 0).select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    # merged, not broadcast: the buckets grow with the documents
+    # a table, so that the join shuffles both sides itself and can split a band that very many documents share; merged, not
+    # broadcast: the buckets grow with the documents
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared", narrow=True)
     open_ = rows.join(shared.hint("merge"), "band").join(signed.select("doc_id", "low").hint("merge"), "doc_id")
     # a bucket of at most BLOCK is one block; a larger one's documents go to blocks by hash, some of them to all blocks
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -302,19 +327,26 @@ def _block(ids: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(a), np.concatenate(b), np.concatenate(value)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(a, b): the pairs whose texts reach the weighted Jaccard similarity."""
-    left = pairs.select("a", "b").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b): the pairs whose texts reach the weighted Jaccard similarity.
+
+    A document's partners are dealt to FANOUT groups at most, to each of which its text goes once; every partner's text goes
+    to its group once.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(FANOUT)).cast("int").alias("part")
+    partners = pairs.select("a", part, F.col("b").alias("doc_id"))
+    needed = partners.union(pairs.select("a", part, F.col("a").alias("doc_id")).distinct())
+    both = needed.hint("merge").join(texts, "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("partner"), "doc_id", "text")
+    both = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "partner")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
-        @lru_cache(maxsize=64)
-        def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+        own = None
+        for a, _, partner, b, text in each:
             found, tf = shingles(text)
-            return found, weights(found, tf, common, idf)
-
-        for a, b, x, y in each:
-            if weighted_jaccard(features(x), features(y)) >= SIMILARITY:
+            features = found, weights(found, tf, *idf.value)
+            if not partner:
+                own = features
+            elif weighted_jaccard(own, features) >= SIMILARITY:
                 yield a, b
 
     return mapped(both, rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
@@ -358,7 +390,7 @@ def rest_blocks(first: DataFrame, known: DataFrame) -> DataFrame:
     small = F.col("n") <= REST_BLOCK
     others = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / REST_BLOCK)).cast("int")
     largest = F.when(small, 0).otherwise(F.ceil(F.col("top.n") / REST_BLOCK)).cast("int")
-    mixed = mixed.select("band", others.alias("others"), largest.alias("largest"), F.col("top.class").alias("top"))
+    mixed = written(mixed.select("band", others.alias("others"), largest.alias("largest"), F.col("top.class").alias("top")), "mixed", narrow=True)
     in_largest = (F.col("class") == F.col("top")) & (F.col("largest") > 0)
     hashed = F.xxhash64("doc_id", F.lit(3))
     mine = F.when(in_largest, F.col("others") + F.pmod(hashed, F.greatest("largest", F.lit(1)))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
@@ -386,7 +418,7 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(shuffle_partitions(blocks.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "doc_id")
 
 
-def rest_links(blocks: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+def rest_links(blocks: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """(a, b): links that join classes, from all pairs of rest_blocks(), on whole texts."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
@@ -395,7 +427,7 @@ def rest_links(blocks: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.
             for r in group:
                 found, tf = shingles(r[9])
                 held.append(r[:9])
-                features.append((found, weights(found, tf, common, idf)))
+                features.append((found, weights(found, tf, *idf.value)))
             root = {r[5]: r[5] for r in held}
 
             def top(x: int, root: dict[int, int] = root) -> int:
@@ -413,40 +445,68 @@ def rest_links(blocks: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.
     return mapped(both, rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copy_of): a row for each id; class_id is the least id of its class, copy_of that of its text."""
-    docs = pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col).where("doc_id IS NOT NULL")
-    common, idf = common_shingles(docs, docs.count())
-    signed = written(signatures(docs, common, idf), "signed")
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, copy_of, node, class): every id and text, the text's least id, its name, and that of its class's first text.
+
+    A text's name is its least id, or for further texts with the same least id a number of 62 bits from its digest.
+    """
+    idf = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, docs.count()))
+    signed = written(signatures(docs, idf), "signed")
     wordy = signed.where(F.size("bands") > 0)
-    # a table, so that the join below shuffles both sides itself and can split a text that very many documents share
-    copies = written(wordy.groupBy("text_id").agg(F.min("doc_id").alias("copy_of")), "copies", narrow=True)
-    first = written(wordy.join(copies.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
+    # a table, so that the joins below shuffle both sides themselves and can split a text that very many documents share
+    least = wordy.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"))
+    turn = F.row_number().over(Window.partitionBy("copy_of").orderBy("text_id"))  # the different texts of one id
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("text_id"), F.lit(1 << 62))
+    copies = written(least.withColumn("node", F.when(turn == 1, F.col("copy_of")).otherwise(other)), "copies", narrow=True)
+    firsts = copies.select("text_id", F.col("copy_of").alias("doc_id"), "node")
+    chosen = wordy.join(firsts.hint("merge"), ["text_id", "doc_id"]).dropDuplicates(["text_id", "doc_id"])
+    first = written(chosen.select(F.col("node").alias("doc_id"), "bands", "low", "weight"), "first")
+    texts_of = docs.select("doc_id", digest(F.col("text")).alias("text_id"), "text")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        wanted = firsts.join(nodes.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+        joined = texts_of.join(wanted.hint("merge"), ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])
+        return written(joined.select(F.col("node").alias("doc_id"), "text"), "texts")
+
     pairs = written(proposals(first), "pairs", narrow=True)
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    own = texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     best = F.max(F.struct("agree", F.expr("-least(a, b)"), "a", "b"))
     each = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     tried = each.groupBy("end").agg(best.alias("x")).select("x.a", "x.b").distinct()
-    links = written(verified(tried, texts, common, idf), "links", narrow=True)
+    links = written(verified(tried, own, idf), "links", narrow=True)
     known = written(components(links), "known", narrow=True)
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    more = written(verified(rest, texts, common, idf), "links", narrow=True)
+    more = written(verified(rest, own, idf), "links", narrow=True)
     as_edges = lambda found: found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     grouped = written(components(as_edges(known).union(more)), "known", narrow=True)
     blocks = written(rest_blocks(first, grouped), "rest", narrow=True)
-    unsettled = docs.join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    last = written(rest_links(blocks, unsettled, common, idf), "links", narrow=True)
+    forget(own, first)
+    own = texts(blocks)
+    last = written(rest_links(blocks, own, idf), "links", narrow=True)
+    forget(own, blocks, pairs, links, more)
     if not last.isEmpty():
-        grouped = components(as_edges(grouped).union(last))
-    own = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(copies.hint("merge"), "text_id", "left")
-    own = own.select("doc_id", F.when(F.col("wordy"), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"))
-    named = own.join(grouped.select(F.col("id").alias("copy_of"), "component"), "copy_of", "left")
-    return named.groupBy("doc_id").agg(F.min(F.coalesce("component", "copy_of")).alias("class_id"), F.min("copy_of").alias("copy_of"))
+        grouped = written(components(as_edges(grouped).union(last)), "known", narrow=True)
+    named = copies.join(grouped.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left")
+    named = written(named.select("text_id", "copy_of", "node", F.coalesce("component", "node").alias("class")), "named", narrow=True)
+    ids = signed.select("doc_id", "text_id", (F.size("bands") > 0).alias("wordy")).join(named.hint("merge"), "text_id", "left")
+    alone = lambda c: F.when(F.col("wordy"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return ids.select("doc_id", "text_id", alone("copy_of"), alone("node"), alone("class"))
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(df, doc_id=whole(df, id_col), text=text_col).where("doc_id IS NOT NULL")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of): a row for each id; class_id is the least id of its class, copy_of that of its text."""
+    return _labelled(_documents(df, id_col, text_col)).groupBy("doc_id").agg(F.min("class").alias("class_id"), F.min("copy_of").alias("copy_of"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows of the documents that are the first of their class."""
-    kept = written(classes(df, id_col, text_col).where("class_id = doc_id").select(F.col("doc_id").alias(id_col)), "kept", narrow=True)
-    return df.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
+    """df's rows of the texts that are the first of their class, under their least id; and those without id."""
+    own, key = _labelled(_documents(df, id_col, text_col)), unused("digest", df)
+    kept = written(own.where("class = node AND doc_id = copy_of").select(F.col("doc_id").cast(df.schema[id_col].dataType).alias(id_col), F.col("text_id").alias(key)), "kept", narrow=True)
+    rows = df.withColumn(key, digest(F.col(quoted(text_col))))
+    found = rows.where(F.col(quoted(id_col)).isNotNull()).join(kept.hint("merge"), [id_col, key], "left_semi").dropDuplicates([id_col, key])
+    return found.select(*map(quoted, df.columns)).union(df.where(F.col(quoted(id_col)).isNull()))

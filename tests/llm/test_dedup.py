@@ -1,11 +1,17 @@
 """Operators 3 and 7 against brute force, with planted copies."""
 
+import math
+import os
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from llm_cases import ODD
+from pyspark.sql import functions as F
 
-from redactrail.llm import chunk_dedup, near_dedup
+from redactrail.llm import chunk_dedup, common, near_dedup
+from redactrail.llm import components as components_module
 from redactrail.llm.components import components
 
 R = random.Random(5)
@@ -24,28 +30,58 @@ def edited(text, n, seed):
     return " ".join(words)
 
 
+def plain_links(texts, common=0.001, words=5):
+    """(i, j) of the texts of weighted Jaccard similarity 0.8 or more, by tuples of words and plain counts."""
+    docs = [Counter(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)) if w) for w in ((t or "").split() for t in texts)]
+    df = Counter(x for d in docs for x in d)
+    idf = {x: 1 if n / len(texts) <= common else (1 + math.log(len(texts) / n) / math.log(1 / common)) / 2 for x, n in df.items()}
+    weights = [{x: (1 + math.log(n)) * idf[x] for x, n in d.items()} for d in docs]
+    for i, a in enumerate(weights):
+        for j in range(i):
+            both = sum(min(w, weights[j][x]) for x, w in a.items() if x in weights[j])
+            if both and both / (sum(a.values()) + sum(weights[j].values()) - both) >= 0.8:
+                yield i, j
+
+
+def brute_force(texts, common=0.001):
+    parent = list(range(len(texts)))
+    for i, j in plain_links(texts, common):
+        low, high = sorted((parent[i], parent[j]))
+        parent = [low if p == high else p for p in parent]
+    return parent
+
+
 def test_near_duplicates_are_found_and_others_left(documents):
     texts = [prose(120, i) for i in range(30)]
     texts += [edited(texts[i], 2, i) for i in range(10)] + [texts[3], texts[3]] + [edited(texts[20], 1, 100 + j) for j in range(12)]
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(texts)).collect()}
-    weights = [(s, 1 + np.log(c)) for s, c in map(near_dedup.shingles, texts)]
-    parent = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if near_dedup.weighted_jaccard(weights[i], weights[j]) >= 0.8:
-                low, high = sorted((parent[i], parent[j]))
-                parent = [low if p == high else p for p in parent]
-    # no shingle is in so many of these documents that it counts less
-    assert found == dict(enumerate(parent))
+    expected = brute_force(texts)
+    assert found == dict(enumerate(expected))
     kept = near_dedup.deduplicated(documents(texts))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(parent)) and kept.columns == documents(["x"]).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected)) and kept.columns == documents(["x"]).columns
+
+
+def test_links_around_the_similarity(documents):
+    """A family without a centre, one with, and others: every link of the plain version, none besides."""
+    r, base, other = random.Random(9), prose(300, 77), prose(250, 78)
+    texts = [prose(200, 2000 + i) for i in range(60)]
+    texts += [edited(base, r.randint(1, 9), 3000 + i) for i in range(60)]
+    texts += [other] + [edited(other, r.randint(1, 12), 4000 + i) for i in range(30)]
+    r.shuffle(texts)
+    expected = brute_force(texts)
+    assert 100 < len(set(expected)) < 145
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(texts)).collect()} == dict(enumerate(expected))
 
 
 def test_near_dedup_of_odd_rows(documents):
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(ODD)).collect()}
     assert found == {i: 3 if i == 4 else i for i in range(len(ODD))}
     assert near_dedup.classes(documents(ODD).limit(0)).collect() == []
-    assert [r["doc_id"] for r in near_dedup.deduplicated(documents(["a b", "a b", "c"], [4, 4, None])).collect()] == [4]
+    # no id: kept; of an id's texts only those that are copies go
+    texts, ids = ["a b", "a b", "c", "c d e", "a b", "c d e"], [4, 4, None, 4, 5, 9]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.deduplicated(documents(texts, ids)).collect()) == [(0, "c"), (4, "a b"), (4, "c d e")]
+    with pytest.raises(ValueError):
+        near_dedup.classes(documents(["x"]).selectExpr("'a' AS doc_id", "text"))
 
 
 def test_samples_agree_as_often_as_weights_overlap():
@@ -62,13 +98,29 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert abs(np.mean(agree) - near_dedup.weighted_jaccard((a, wa), (b, wb))) < 0.03
 
 
-def test_common_shingles_are_counted_over_all_documents(documents):
+def test_common_shingles_are_counted_over_all_documents(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON", 0.1)
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 400)
     line = "this line stands in very many of all documents"
     texts = [f"{prose(30, i)} {line}" if i % 2 == 0 else prose(30, i) for i in range(200)]
     found, idf = near_dedup.common_shingles(documents(texts), len(texts))
-    assert set(near_dedup.shingles(line)[0]) <= set(found)
-    at = np.searchsorted(found, near_dedup.shingles(line)[0])
-    assert np.allclose(idf[at], np.log(2) / np.log(2.5))
+    assert set(near_dedup.shingles(line)[0]) == set(found)
+    assert np.allclose(idf, (1 + np.log(2) / np.log(10)) / 2)
+
+
+def test_joins_of_hot_keys_are_split(spark):
+    """A hub's edges are one key: with low thresholds the plan splits it."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        df = components_module._large_star(spark.range(1, 20_000).selectExpr("id AS u", "id - id AS v"), [])
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_large_buckets_are_dealt_in_blocks(documents, monkeypatch):
@@ -79,17 +131,6 @@ def test_large_buckets_are_dealt_in_blocks(documents, monkeypatch):
     assert {found[i] for i in range(120)} == {0} and all(found[i] == i for i in range(120, 360))
 
 
-def brute_force(texts):
-    weights = [(s, 1 + np.log(c)) for s, c in map(near_dedup.shingles, texts)]
-    parent = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if near_dedup.weighted_jaccard(weights[i], weights[j]) >= 0.8:
-                low, high = sorted((parent[i], parent[j]))
-                parent = [low if p == high else p for p in parent]
-    return parent
-
-
 def family(n, seed):
     """Pairs just over the similarity, whose members are just under it to all others."""
     r, base, texts = random.Random(seed), prose(1200, seed).split(), []
@@ -108,7 +149,7 @@ def test_links_in_families_just_under_the_similarity(documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "COMMON", 2)  # all of these documents are the family: no shingle counts less
     monkeypatch.setattr(near_dedup, "REST_BLOCK", 16)
     texts = family(60, 3)
-    expected = brute_force(texts)
+    expected = brute_force(texts, 2)
     assert len(set(expected)) > 10
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(texts)).collect()} == dict(enumerate(expected))
 
@@ -120,6 +161,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_working_tables_are_cleaned_up(spark, documents, tmp_path):
+    before = set(common.WORKING)
+    found = near_dedup.classes(documents(["a b c", "a b c"])).collect()
+    own = common.WORKING - before
+    assert len(found) == 2 and own and all(os.path.isdir(p) for p in own)
+    common.clean(spark)
+    assert not common.WORKING and not any(os.path.isdir(p) for p in own | before)
+
+
 def test_shared_passages(documents):
     passage = prose(70, 99)
     texts = [prose(200, i) for i in range(20)]
@@ -131,7 +181,7 @@ def test_shared_passages(documents):
     after = {r["doc_id"]: r for r in chunk_dedup.deduplicated(documents(texts)).collect()}
     assert all(after[i]["text"] == t for i, t in enumerate(texts) if i not in (7, 11))
     assert passage in after[2]["text"]
-    core = passage[80:-80]
+    core = passage[90:-90]
     assert core not in after[7]["text"] and core not in after[11]["text"]
     for i in (7, 11):
         assert after[i]["n_chars"] == len(after[i]["text"]) >= len(texts[i]) - len(passage)
@@ -151,28 +201,19 @@ def test_chunk_ends_follow_the_content():
     assert both[0] == both[1] == own
 
 
-def test_passages_by_plain_digests(documents):
-    """Every repeated run of chunks is a passage, found by a dictionary of chunks."""
+def test_passages_by_plain_windows(documents):
+    """Bytes of all runs of chunks of 150 bytes at least that stand in two documents, each run cut as short as can be."""
     texts = [prose(60, i % 6) + " " + prose(60, 50 + i) for i in range(12)]
-    seen = {}
-    cuts = []
+    seen, cuts = {}, []
     for i, t in enumerate(texts):
         data = t.encode()
         ends = chunk_dedup.chunk_ends(data, np.array([0]))[0]
-        cuts.append([(a, b, data[a:b]) for a, b in zip([0, *ends], ends, strict=False)])
+        own = [(a, next((e for e in ends if e >= a + chunk_dedup.MIN_BYTES), None)) for a in [0, *ends]]
+        cuts.append([(a, b, data[a:b]) for a, b in own if b is not None])
         for *_, c in cuts[-1]:
             seen.setdefault(c, set()).add(i)
-    expected = {}
-    for i, own in enumerate(cuts):
-        run = total = 0
-        for a, b, c in [*own, (0, 0, None)]:
-            if c is not None and len(seen[c]) > 1:
-                run += b - a
-            else:
-                total, run = total + (run if run >= chunk_dedup.MIN_BYTES else 0), 0
-        if total:
-            expected[i] = total
-    assert {r["doc_id"]: r["repeated_bytes"] for r in chunk_dedup.repeats(documents(texts)).collect()} == expected
+    expected = {i: len({k for a, b, c in own if len(seen[c]) > 1 for k in range(a, b)}) for i, own in enumerate(cuts)}
+    assert {r["doc_id"]: r["repeated_bytes"] for r in chunk_dedup.repeats(documents(texts)).collect()} == {i: n for i, n in expected.items() if n}
 
 
 def test_phrases_of_unrelated_documents_are_no_passage(documents):
@@ -199,3 +240,7 @@ def test_odd_rows_have_no_passages(documents):
     same = documents(["x " * 500] * 3, [1, 1, None])
     assert chunk_dedup.repeats(same).collect() == []
     assert chunk_dedup.deduplicated(documents(ODD)).count() == len(ODD)
+    clash = documents(["x"]).withColumn("cuts", F.lit(1)).withColumn("cut_doc", F.lit(2)).withColumn("fresh_text", F.lit(3))
+    assert chunk_dedup.deduplicated(clash).collect() == clash.collect()
+    with pytest.raises(ValueError):
+        chunk_dedup.repeats(documents(["x"]).selectExpr("'a' AS doc_id", "text"))
