@@ -16,6 +16,9 @@ passages have higher thresholds than quiet ones. Clips are the stretches between
 Frames are coded side by side in arrays: a loop goes over the 192 samples of a frame, not over frames. Documents are coded
 in groups of about GROUP frames, longer ones in parts of as many.
 
+Files. Of several video streams the first is read; frames in `rec ` lists, with or without an index, count, and a dropped
+frame (of no bytes) repeats the picture before it.
+
 Cases. Null text: as the empty text, one frame of spaces. Repeated rows: each by itself, equal texts give equal values. Null
 ids are kept. Empty table: empty result. Extra columns are not read. A file that is no AVI, is cut short, or has frames of
 other processes: ValueError from the functions; `clips` gives one row with the reason instead.
@@ -192,13 +195,19 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
 
 
 def frame_samples(frames: list[bytes]) -> np.ndarray:
-    """The samples of lossless frames, or the luminance of baseline ones, a row each."""
-    if frames and is_baseline(frames[0]):
-        pictures = [luma(f) for f in frames]
-        if len({p.shape for p in pictures}) > 1:
-            raise ValueError("frames of different sizes in one file")
-        return np.stack([p.ravel() for p in pictures])
-    return decode_frames(frames)
+    """The samples of lossless frames, and the luminance of baseline ones, a row each.
+
+    An empty frame was dropped: the picture before it stands on, or the first one if there is none before.
+    """
+    full = [f for f in frames if f]
+    if not full:
+        raise ValueError("no frames")
+    plain = [is_baseline(f) for f in full]
+    lossless = iter(decode_frames([f for f, p in zip(full, plain, strict=True) if not p]) if not all(plain) else ())
+    pictures = [luma(f).ravel() if p else next(lossless) for f, p in zip(full, plain, strict=True)]
+    if len({p.shape for p in pictures}) > 1:
+        raise ValueError("frames of different sizes in one file")
+    return np.stack(pictures)[np.maximum(np.cumsum([len(f) > 0 for f in frames]) - 1, 0)]
 
 
 def _scan_start(frame: bytes) -> int:
@@ -275,39 +284,73 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + n + (n & 1)
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], int]:
-    """The video frames in the order of the file's index (or of the file, without one), and microseconds a frame.
+def _chunks(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """The chunks of a movi list, those in its `rec ` lists included."""
+    for name, a, b in _walk(data, start, end):
+        if name == b"rec ":
+            yield from _chunks(data, a, b)
+        else:
+            yield name, a, b
+
+
+def _stream(data: bytes, start: int, end: int) -> tuple[bytes | None, float]:
+    """Of a header list, the number of the first video stream (None if no stream is described) and microseconds a frame."""
+    lapse, number, seen = 40_000.0, None, 0
+    for name, a, b in _walk(data, start, end):
+        if name == b"avih":
+            lapse = struct.unpack("<I", data[a : a + 4])[0] or lapse
+        elif name == b"strl":
+            head = next((x for n, x, _ in _walk(data, a, b) if n == b"strh"), None)
+            if head is not None and data[head : head + 4] == b"vids" and number is None:
+                number = b"%02d" % seen
+                scale, rate = struct.unpack("<II", data[head + 20 : head + 28])
+                lapse = 1e6 * scale / rate if scale and rate else lapse
+            seen += 1
+    return number, lapse
+
+
+def read_avi(data: bytes) -> tuple[list[bytes], float]:
+    """The frames of the first video stream in the order of the index (or of the file, without one), and microseconds a frame.
 
     Reads idx1 indexes with offsets from the movi list or the file's start, and standard indexes (ix##) of large files.
+    Dropped frames are empty.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    lapse, entries, movies, standard = 40_000, None, [], []
+    lapse, number, entries, movies, standard = 40_000.0, None, None, [], []
     for _, start, end in _walk(data, 0, len(data)):
         for name, a, b in _walk(data, start, end):
             if name == b"hdrl":
-                lapse = next((struct.unpack("<I", data[x : x + 4])[0] for n, x, _ in _walk(data, a, b) if n == b"avih"), lapse)
+                number, lapse = _stream(data, a, b)
             elif name == b"movi":
                 movies.append((a, b))
             elif name == b"idx1":
                 entries = np.frombuffer(data[a : b - (b - a) % 16], "<u4").reshape(-1, 4)
     if not movies:
         raise ValueError("no movi list")
+    if number is None:
+        number = next((n[:2] for movie in movies for n, _, _ in _chunks(data, *movie) if n[2:] in (b"dc", b"db")), b"00")
     if entries is not None and len(movies) == 1:
-        video = entries[np.isin(entries[:, 0] >> 16, [int.from_bytes(x, "little") for x in (b"dc", b"db")])]
+        video = entries[np.isin(entries[:, 0], [int.from_bytes(number + x, "little") for x in (b"dc", b"db")])]
         if len(video):
             base = movies[0][0] - 4
             if data[base + int(video[0, 2]) : base + int(video[0, 2]) + 4] != video[0, :1].tobytes():
                 base = 0
             return [data[base + o + 8 : base + o + 8 + n] for o, n in video[:, 2:].tolist()], lapse
-    chunks = [(name, a, b) for movie in movies for name, a, b in _walk(data, *movie)]
+    chunks = [(name, a, b) for movie in movies for name, a, b in _chunks(data, *movie)]
     for name, a, b in chunks:
-        if name[:2] == b"ix":
-            wide, kind, _, n = data[a], data[a + 3], data[a + 2], struct.unpack("<I", data[a + 4 : a + 8])[0]
+        if name == b"ix" + number:
+            wide, kind, n = data[a], data[a + 3], struct.unpack("<I", data[a + 4 : a + 8])[0]
             base = struct.unpack("<Q", data[a + 12 : a + 20])[0]
             if kind == 1 and wide == 2:
                 standard += [data[base + o : base + o + (size & 0x7FFFFFFF)] for o, size in np.frombuffer(data[a + 24 : a + 24 + 8 * n], "<u4").reshape(-1, 2).tolist()]
-    return standard or [data[a:b] for name, a, b in chunks if name[2:] in (b"dc", b"db")], lapse
+    return standard or [data[a:b] for name, a, b in chunks if name in (number + b"dc", number + b"db")], lapse
+
+
+def timed(cuts: np.ndarray, frames: int, lapse: float) -> list[tuple[int, int, float, float]]:
+    """(first frame, frames, start and end in milliseconds) of the clips between cuts."""
+    bounds = [0, *cuts.tolist(), frames]
+    return [(a, b - a, a * lapse / 1000, b * lapse / 1000) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def shots(samples: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -357,13 +400,16 @@ def films(payloads: list[bytes]) -> list[bytes]:
     return [write_avi(frames[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def restored(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The payload and the cuts of each AVI file that films() made, read from its bytes."""
-    each = [read_avi(x)[0] for x in media]
-    samples = decode_frames([f for frames in each for f in frames])
-    ends = np.cumsum([len(x) for x in each])
+def restored(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, float, float]]]]:
+    """The payload and the timed() clips of each AVI file that films() made, read from its bytes."""
+    each = [read_avi(x) for x in media]
+    samples = decode_frames([f for frames, _ in each for f in frames])
+    many = np.array([len(frames) for frames, _ in each])
+    ends = np.cumsum(many)
     raw = samples.tobytes()
-    return [raw[UNIT * a : UNIT * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], shots(samples, ends - [len(x) for x in each])
+    cuts = shots(samples, ends - many)
+    clips = [timed(own, len(frames), lapse) for own, (frames, lapse) in zip(cuts, each, strict=True)]
+    return [raw[UNIT * a : UNIT * b] for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)], clips
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,16 +455,15 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
             except (ValueError, KeyError, struct.error, IndexError) as e:
                 yield doc_id, 0, None, None, None, None, str(e)
                 continue
-            cuts = [0, *shots(samples, np.array([0]))[0].tolist(), len(samples)]
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                yield doc_id, i, a, b - a, a * lapse / 1000, b * lapse / 1000, None
+            for i, clip in enumerate(timed(shots(samples, np.array([0]))[0], len(samples), lapse)):
+                yield doc_id, i, *clip, None
 
     schema = pa.schema([("doc_id", arrow), ("clip", pa.int32()), ("first_frame", pa.int64()), ("n_frames", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("error", pa.string())])
     return mapped(pick(df, doc_id=id_col, media=media_col), rows, schema, f"doc_id {kind}, clip int, first_frame long, n_frames long, start_ms double, end_ms double, error string")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each whole text, reads the file back, and returns digests of both and the clips as a feature.
+    """Stores each whole text, reads the file back, and returns digests of both and the clips as a feature: their milliseconds.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_clips).
     """
@@ -431,9 +476,9 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for group in _groups(each, lambda r: len(r[1] or "")):
             both = [padded(text) for _, text in group]
             media = films([p for p, _ in both])
-            for (doc_id, _), (_, n), film, payload, cuts in zip(group, both, media, *restored(media), strict=True):
-                feature = f"{len(payload) // UNIT} frames, {len(cuts) + 1} clips, cuts {crc32(cuts.astype('<u4').tobytes()):08x}"
-                yield doc_id, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(film), sha256(film).hexdigest(), feature, len(cuts) + 1
+            for (doc_id, _), (_, n), film, payload, clips in zip(group, both, media, *restored(media), strict=True):
+                feature = f"{len(payload) // UNIT} frames, clips " + " ".join(f"{start:g}-{end:g}" for *_, start, end in clips)
+                yield doc_id, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(film), sha256(film).hexdigest(), feature, len(clips)
 
     fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_clips", pa.int64())]
     text = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in fields)
