@@ -8,7 +8,8 @@ of fixed size, whatever the number of documents. Bin completion takes the larges
 the rest of its sequence, leaving out those that another one dominates; a filling is used as many times as the counts
 allow at once. A branch is given up when its waste exceeds what the incumbent permits. The first incumbent is best-fit
 decreasing over the histogram; when it meets the lower bound, as with many short documents, the search is over before it
-begins. `nodes` bounds the search, not the data: the incumbent packs every piece.
+begins. `nodes` and `width` bound the search, not the data: the incumbent packs every piece, but with fillings left out or
+the search given up it may not be the best. `least_sequences` in the result, the lower bound, says how far off it can be.
 
 Pieces are dealt to the plan's places by their rank within their length, counted in ranges of (length, doc_id, piece), so
 that no length, however common, is gathered in one task. Only counts by range and length reach the driver.
@@ -20,6 +21,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, shuffle_partitions, sorted_shards, written
+from redactrail.llm.common import mapped, pick, shuffle_partitions, sorted_shards, unused, written
 from redactrail.llm.rank_ids import encoded
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), lengths falling
@@ -126,14 +128,17 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, most: int) -> list[tuple[int, ...]]:
-    """Up to `most` undominated multisets of the lengths that leave at most `waste` of the room, the fullest first."""
+def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, most: int | None) -> list[tuple[int, ...]]:
+    """Undominated multisets of the lengths that leave at most `waste` of the room, the fullest first.
+
+    Up to `most` of the first that are found; None: all there are.
+    """
     found: list[tuple[int, ...]] = []
-    tries = [64 * most]
+    tries = [64 * most if most else math.inf]
 
     def extend(room: int, upto: int, chosen: tuple[int, ...]) -> None:
         tries[0] -= 1
-        if tries[0] < 0 or len(found) >= 4 * most:
+        if tries[0] < 0 or most and len(found) >= 4 * most:
             return
         at = min(upto, bisect_right(lengths, room))
         if room <= waste:
@@ -154,8 +159,11 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int,
     return kept[:most]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = FILLINGS) -> Plan:
-    """A packing of the histogram: sequences of each pattern. Optimal if it meets lower_bound or the search ended."""
+def plan(counts: dict[int, int], capacity: int, nodes: float = NODES, width: int | None = FILLINGS) -> Plan:
+    """A packing of the histogram: sequences of each pattern.
+
+    Optimal if it meets lower_bound, or with nodes=math.inf and width=None, which search everything, in exponential time.
+    """
     counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, capacity)
     used, bound = sum(c for _, c in best), lower_bound(counts, capacity) if counts else 0
@@ -178,7 +186,7 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int =
         for x in fillings(rest, [n for n in lengths if rest[n]], capacity - top, min(allowed, capacity), width):
             need = Counter((top, *x))
             waste = capacity - top - sum(x)
-            copies = min(counts[n] // k for n, k in need.items())
+            copies = min(counts[n] // k for n, k in need.items()) if width else 1
             if waste:
                 copies = min(copies, max(1, ((used - 1) * capacity - total - wasted) // waste))
             after = {n: c for n in counts if (c := counts[n] - copies * need.get(n, 0))}
@@ -216,13 +224,14 @@ def places(chosen: Plan) -> dict[int, list[tuple[int, int, int, int]]]:
 
 
 def pack(cut: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFrame:
-    """The pieces with sequence_id and offset: as few sequences as the search finds, each gapless from offset 0.
+    """The pieces with sequence_id, offset, n_sequences and least_sequences: each sequence gapless from offset 0.
 
-    cut: rows with doc_id, piece and length (1 to capacity); other columns are kept.
+    n_sequences: how many there are, as few as the search finds; least_sequences: how many any packing needs at least. cut:
+    rows with doc_id, piece and length (1 to capacity); other columns are kept, but for those four names.
     """
+    cut = cut.drop("sequence_id", "offset", "n_sequences", "least_sequences")
     spark = cut.sparkSession
-    names = cut.columns
-    at = [names.index(c) for c in ("length",)][0]
+    at = cut.columns.index("length")
     ranged = sorted_shards(cut, ["length", "doc_id", "piece"], shuffle_partitions(spark))
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -238,15 +247,18 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFrame:
             last = row[at]
             yield *row, own, seen
 
-    extra = [("_part", pa.int32()), ("_seen", pa.int64())]
-    numbered = written(mapped(ranged, number, pa.schema([*schema, *[pa.field(n, t) for n, t in extra]]), spark_schema + ", _part int, _seen long"), "pieces")
-    by_part = sorted((r["length"], r["_part"], r["n"]) for r in numbered.groupBy("length", "_part").agg(F.count("*").alias("n")).collect())
+    part, seen = unused("part", cut), unused("seen", cut)
+    extra = [(part, pa.int32()), (seen, pa.int64())]
+    numbered = written(mapped(ranged, number, pa.schema([*schema, *[pa.field(n, t) for n, t in extra]]), f"{spark_schema}, `{part}` int, `{seen}` long"), "pieces")
+    by_part = sorted(tuple(r) for r in numbered.groupBy("length", part).agg(F.count("*")).collect())
     base: dict[tuple[int, int], int] = {}
     counts: Counter = Counter()
     for length, part, n in by_part:
         base[length, part] = counts[length]
         counts[length] += n
-    to = places(plan(counts, capacity, nodes))
+    chosen = plan(counts, capacity, nodes)
+    totals = sum(n for _, n in chosen), lower_bound(counts, capacity) if counts else 0
+    to = places(chosen)
     starts = {n: [x[0] for x in runs] for n, runs in to.items()}
     sent = spark.sparkContext.broadcast((base, to, starts))  # counts by length and part: no more than lengths and parts
 
@@ -257,10 +269,10 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFrame:
             rank = base[length, part] + seen
             before, first, many, offset = to[length][bisect_right(starts[length], rank) - 1]
             turn, within = divmod(rank - before, many)
-            yield *row, first + turn, offset + within * length
+            yield *row, first + turn, offset + within * length, *totals
 
-    packed = pa.schema([*schema, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
-    return mapped(numbered, place, packed, spark_schema + ", sequence_id long, offset long")
+    names = ("sequence_id", "offset", "n_sequences", "least_sequences")
+    return mapped(numbered, place, pa.schema([*schema, *[pa.field(n, pa.int64()) for n in names]]), ", ".join([spark_schema, *[f"{n} long" for n in names]]))
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

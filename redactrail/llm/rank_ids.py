@@ -2,7 +2,8 @@
 
 Where a vocabulary's ids follow the order of its merges, merging by rank gives the ids that the tokenizers library gives,
 several times as fast. `RankEncoder` takes the ranks from the library's JSON file, refuses files of which that isn't true,
-and holds the first texts of each worker against the library itself.
+and holds the first texts of each worker against the library itself. Texts that hold the string of an added token go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -46,21 +47,27 @@ class RankEncoder:
         ranks = {token: i for token, i in ranks.items() if len(token) == 1 or i in made}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.unchecked = path, CHECKED
+        self.added = [x["content"] for x in content["added_tokens"]]
+        self.library = None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(token in text for token in self.added):
+            return self._by_library(text)
         ids = b"".join(array("I", self.encoding.encode_ordinary(part)).tobytes() for part in cut(text))
         if self.unchecked and 0 < len(text) <= CHECKED_CHARS:
             self._check(text, ids)
         return ids
 
-    def _check(self, text: str, ids: bytes) -> None:
+    def _by_library(self, text: str) -> bytes:
         from tokenizers import Tokenizer
 
+        self.library = self.library or Tokenizer.from_file(self.path)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _check(self, text: str, ids: bytes) -> None:
         self.unchecked -= 1
-        library = Tokenizer.from_file(self.path)
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
-        if array("I", library.encode(text, add_special_tokens=False).ids).tobytes() != ids:
+        if self._by_library(text) != ids:
             raise ValueError("ranks and the tokenizers library disagree")
 
 
