@@ -9,8 +9,10 @@ seen leave the word to shorter ones. A URL's score is the difference of both mod
 length. The threshold is calibrated on every FOLDS-th example (by hash of the URL), which the models don't learn from: the
 one that treats accepted and rejected examples alike best (balanced accuracy).
 
-At scale. Counts are hashed into BUCKETS numbers for each model, order and side, summed in each task, then over tasks: the
-driver and the executors hold tables of fixed size. Calibration gathers a histogram of fixed size.
+At scale. Counts are exact, by context and character, and lie in a table that grows with what is learned; nobody holds it
+whole. URLs are scored in batches: the distinct n-grams of a batch are joined to the table, and the counts found come back
+to the batch, so rows grow with the batches' n-grams, and no key gets more than a row from each batch. Calibration gathers a
+histogram of fixed size.
 
 Cases. Null URLs or such without "://": host and path empty, no rule; models judge the text as it is, a null as empty.
 Empty URLs have score 0. Without examples of both sides every score is 0 and the threshold 0: allowed. Scores equal to the
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -29,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick
+from redactrail.llm.common import mapped, pick, shuffle_partitions, written
 
-BITS, ORDER, SMOOTHING, FOLDS = 20, 5, 2.0, 5
-BUCKETS = 1 << BITS
+ORDER, SMOOTHING, FOLDS = 5, 2.0, 5
 #: The histogram of scores for calibration: from -SPAN to SPAN in STEPS steps.
 SPAN, STEPS = 8.0, 3200
+#: URLs and characters of a batch, and n-grams that a task sums before it sends them.
+URLS, CHARACTERS, GRAMS = 8192, 1 << 18, 1 << 22
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 #: Digits are one character for the models: numbers in paths name pages, not kinds of pages.
@@ -73,54 +77,61 @@ class Rules:
 
 
 def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By order the buckets of (context, character), those of the context, and each character's URL."""
+    """By order the (context, character), the context, and each character's URL; the first two as numbers.
+
+    A number is the bytes themselves, up to six, under the order and kind: no two n-grams share one.
+    """
     raw = [u.encode("utf-8", "replace").translate(DIGITS) for u in urls]
     pad = bytes([2]) * ORDER
-    data = np.frombuffer(b"".join(pad + x for x in raw), np.uint8).astype(np.uint64)
-    sizes = np.array([len(x) for x in raw])
+    data = np.frombuffer(b"".join(pad + x for x in raw), np.uint8).astype(np.int64)
+    sizes = np.array([len(x) for x in raw], np.int64)
     starts = np.cumsum(sizes + ORDER) - sizes
     owner = np.repeat(np.arange(len(raw)), sizes)
     at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    both, context = np.empty((ORDER + 1, len(at)), np.int32), np.empty((ORDER + 1, len(at)), np.int32)
-    h = np.zeros(len(at), np.uint64)
+    both, context = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
+    before = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
         if k:
-            h = (h + data[at - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        seed = np.uint64(0xD1B54A32D192ED03 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        context[k] = (((h ^ seed) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
-        both[k] = (((h ^ seed) * np.uint64(0x94D049BB133111EB) + (data[at] + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - BITS)).astype(np.int32)
+            before |= data[at - k] << (8 * (k - 1))
+        context[k] = before | (k << 48)
+        both[k] = (before << 8) | data[at] | ((ORDER + 1 + k) << 48)
     return both, context, owner
 
 
+def scores(urls: list[str], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each URL the difference of its log-likelihoods as accepted and rejected, by its length.
+
+    keys: n-grams in order, without those that never occur; counts: how often each occurs among rejected and accepted URLs.
+    """
+    both, context, owner = _grams(urls)
+    keys, counts = np.append(keys, np.int64(1) << 60), np.append(counts, [[0, 0]], axis=0)
+
+    def met(grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, grams)
+        return np.where((keys[at] == grams)[:, None], counts[at], 0)
+
+    p = np.full((len(owner), 2), 1 / 256)
+    for k in range(ORDER + 1):
+        p = (met(both[k]) + SMOOTHING * p) / (met(context[k]) + SMOOTHING)
+    ln = np.log(p)
+    n = np.bincount(owner, minlength=len(urls))
+    return np.bincount(owner, ln[:, 1] - ln[:, 0], minlength=len(urls)) / np.maximum(n, 1)
+
+
 @dataclass(frozen=True)
 class Model:
-    """tables: counts by side (1: accepted), kind (0: context and character, 1: context) and bucket; of all orders."""
+    """counts: (key, rejected, accepted) of all n-grams of examples, None without examples of both sides."""
 
-    tables: np.ndarray
+    counts: DataFrame | None
     threshold: float
 
-    def scores(self, urls: list[str]) -> np.ndarray:
-        both, context, owner = _grams(urls)
-        total = np.zeros(len(urls))
-        if not self.tables[0].any() or not self.tables[1].any():
-            return total
-        ln = []
-        for side in (0, 1):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDER + 1):
-                p = (self.tables[side, 0, both[k]] + SMOOTHING * p) / (self.tables[side, 1, context[k]] + SMOOTHING)
-            ln.append(np.log(np.maximum(p, 1e-12)))
-        n = np.bincount(owner, minlength=len(urls))
-        return np.bincount(owner, ln[1] - ln[0], minlength=len(urls)) / np.maximum(n, 1)
-
 
 def _batches(each: Iterator[tuple], n: int = 2048) -> Iterator[list[tuple]]:
     held, size = [], 0
     for row in each:
         held.append(row)
         size += len(row[-1] or "")
-        if len(held) >= n or size >= 1 << 19:
+        if len(held) >= n or size >= CHARACTERS:
             yield held
             held, size = [], 0
     if held:
@@ -135,43 +146,83 @@ def _examples(group: list[tuple], rules: Rules, held_out: bool) -> Iterator[tupl
             yield int(found[1] == "allow"), url
 
 
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(id, url, score) of rows (id, url)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if model.counts is None:
+        return rows.select("id", "url", F.lit(0.0).alias("score"))
+    kind = rows.schema["id"].dataType
+    arrow, name = to_arrow_type(kind), kind.simpleString()
+
+    def batch(each: Iterator[tuple]) -> Iterator[tuple]:
+        for group in _batches(each, URLS):
+            both, context, _ = _grams([u or "" for _, u in group])
+            yield [i for i, _ in group], [u for _, u in group], np.unique(np.concatenate([both.ravel(), context.ravel()])).tolist()
+
+    schema = pa.schema([("ids", pa.list_(arrow)), ("urls", pa.list_(pa.string())), ("keys", pa.list_(pa.int64()))])
+    batches = mapped(rows.select("id", "url"), batch, schema, f"ids array<{name}>, urls array<string>, keys array<long>", flush=1)
+    batches = written(batches.withColumn("batch", F.monotonically_increasing_id()), "urls")
+    found = batches.select("batch", F.explode("keys").alias("key")).join(model.counts.hint("merge"), "key")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("rejected", "long"), ("accepted", "long"))]
+    both = found.select("batch", F.lit(None).cast(f"array<{name}>").alias("ids"), F.lit(None).cast("array<string>").alias("urls"), "key", "rejected", "accepted").union(batches.select("batch", "ids", "urls", *nothing))
+    dealt = both.repartition(shuffle_partitions(rows.sparkSession), "batch").sortWithinPartitions("batch", F.col("key").asc_nulls_last())
+
+    def score(each: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(each, key=lambda r: r[0]):
+            counts: list[tuple[int, int, int]] = []
+            for _, ids, urls, *count in group:  # the batch itself comes last
+                if ids is None:
+                    counts.append(tuple(count))
+                else:
+                    known = np.array(counts, np.int64).reshape(-1, 3)
+                    yield from zip(ids, urls, scores([u or "" for u in urls], known[:, 0], known[:, 1:]).tolist(), strict=True)
+
+    return mapped(dealt, score, pa.schema([("id", arrow), ("url", pa.string()), ("score", pa.float64())]), f"id {name}, url string, score double")
+
+
 def fit(df: DataFrame, rules: list[Rule], url_col: str = "url") -> Model:
     """Models of the URLs that the rules decide, counted over all of df."""
     urls = pick(df, url=url_col)
 
-    def count(each: Iterator[tuple]) -> Iterator[tuple]:
-        tables, own = np.zeros((2, 2, BUCKETS), np.int64), Rules(rules)
-        for group in _batches(each):
+    def count(batches: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[list[np.ndarray]] = [[], []]
+
+        def flush() -> Iterator[tuple]:
+            for side, parts in enumerate(held):
+                keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+                yield from ((k, c * (1 - side), c * side) for k, c in zip(keys.tolist(), n.tolist(), strict=True))
+                parts.clear()
+
+        own = Rules(rules)
+        for group in _batches(batches):
             for side in (0, 1):
                 mine = [u for s, u in _examples(group, own, False) if s == side]
                 if mine:
-                    for kind, buckets in enumerate(_grams(mine)[:2]):
-                        tables[side, kind] += np.bincount(buckets.ravel(), minlength=BUCKETS)
-        flat = tables.ravel()
-        yield from ((i, int(flat[i])) for i in np.flatnonzero(flat).tolist())
-
-    def total(rows: DataFrame, size: int) -> np.ndarray:
-        got = rows.groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell of a table of fixed size
-        found = np.zeros(size)
-        found[got.column("i").to_numpy()] = got.column("n").to_numpy()
-        return found
-
-    schema = pa.schema([("i", pa.int64()), ("n", pa.int64())])
-    tables = total(mapped(urls, count, schema, "i long, n long"), 4 * BUCKETS).astype(np.float32).reshape(2, 2, BUCKETS)
-    model = Model(tables, 0.0)
-
-    def calibrate(each: Iterator[tuple]) -> Iterator[tuple]:
-        seen, own = np.zeros((2, STEPS), np.int64), Rules(rules)
+                    held[side] += [x.ravel() for x in _grams(mine)[:2]]
+            if sum(len(x) for parts in held for x in parts) >= GRAMS:
+                yield from flush()
+        yield from flush()
+
+    schema = pa.schema([("key", pa.int64()), ("rejected", pa.int64()), ("accepted", pa.int64())])
+    partial = mapped(urls, count, schema, "key long, rejected long, accepted long")
+    counts = written(partial.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")), "ngrams")
+    seen = counts.agg(F.max("rejected"), F.max("accepted")).first()
+    if not seen[0] or not seen[1]:
+        return Model(None, 0.0)
+
+    def examples(each: Iterator[tuple]) -> Iterator[tuple]:
+        own = Rules(rules)
         for group in _batches(each):
-            examples = list(_examples(group, own, True))
-            if examples:
-                at = np.clip((model.scores([u for _, u in examples]) + SPAN) / (2 * SPAN) * STEPS, 0, STEPS - 1).astype(int)
-                np.add.at(seen, (np.array([s for s, _ in examples]), at), 1)
-        flat = seen.ravel()
-        yield from ((i, int(flat[i])) for i in np.flatnonzero(flat).tolist())
+            yield from _examples(group, own, True)
 
-    seen = total(mapped(urls, calibrate, schema, "i long, n long"), 2 * STEPS).reshape(2, STEPS)
-    return Model(tables, calibrated(seen))
+    held_out = mapped(urls, examples, pa.schema([("id", pa.int32()), ("url", pa.string())]), "id int, url string")
+    step = F.floor((F.col("score") + SPAN) / (2 * SPAN) * STEPS)
+    histogram = scored(held_out, Model(counts, 0.0)).groupBy("id", F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), step)).cast("int").alias("step")).count().collect()  # 2 * STEPS rows at most
+    both = np.zeros((2, STEPS), np.int64)
+    for side, at, n in histogram:
+        both[side, at] = n
+    return Model(counts, calibrated(both))
 
 
 def calibrated(seen: np.ndarray) -> float:
@@ -193,11 +244,11 @@ def judged(df: DataFrame, model: Model, rules: list[Rule], id_col: str = "page_i
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         own = Rules(rules)
-        for group in _batches(each):
-            for (page_id, url), score in zip(group, model.scores([u or "" for _, u in group]).tolist(), strict=True):
-                host, path = host_and_path(url)
-                rule, verdict = own.best(host, path) or (None, "allow" if score >= model.threshold else "block")
-                yield page_id, host, path, rule, verdict, score
+        for page_id, url, score in each:
+            host, path = host_and_path(url)
+            rule, verdict = own.best(host, path) or (None, "allow" if score >= model_threshold else "block")
+            yield page_id, host, path, rule, verdict, score
 
+    model_threshold = model.threshold
     schema = pa.schema([("page_id", to_arrow_type(kind)), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
-    return mapped(pick(df, page_id=id_col, url=url_col), rows, schema, f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string, score double")
+    return mapped(scored(pick(df, id=id_col, url=url_col), model), rows, schema, f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string, score double")
