@@ -1,7 +1,11 @@
 """WARC: records from files, and not-modified revisits resolved to the responses they stand for.
 
-`read_warc` turns the bytes of WARC files into records, `resolve` gives every revisit its response, `canonical` is the
-canonical form of a URL as a column.
+`read_warc` turns the bytes of WARC files into records, `write_warc` records into files, `resolve` gives every revisit its
+response, `canonical` is the canonical form of a URL as a column.
+
+Files are read in stretches, compressed or not, and what is broken has a row with the reason in `error`: a record cut short
+(its headers, no payload), headers without a length or an end, bytes that are no record, a compressed member that is cut
+short or damaged. Reading goes on at the next record or member. Header fields that are repeated are joined with commas.
 
 Resolution is an as-of join: of the full responses with the revisit's canonical URL, the latest before it (of equal times
 the one of the larger record_id). Then validators are checked: an ETag that both have must be the same (weakly compared),
@@ -13,7 +17,7 @@ At scale. Responses and revisits, without payloads, are sorted by URL and time i
 the latest response along, so nothing is joined and no URL, however often captured, is gathered in one task. What a range
 has to know from those before it, one response a range at most, goes through the driver.
 
-Cases. Null URLs and those without "://" are compared as they are, null matches nothing. Null times: never resolved and
+Cases. Records with an error are left out by `resolve`. Null URLs and those without "://" are compared as they are, null matches nothing. Null times: never resolved and
 never a target. Repeated rows: resolved each. A response at the same time as a revisit is not before it. Header names count
 without case; null headers as none; null values as missing. Empty table: empty result. Extra columns are not read.
 """
@@ -21,6 +25,7 @@ without case; null headers as none; null values as missing. Empty table: empty r
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +40,11 @@ TRACKING = "^(utm_[a-z]+|gclid|fbclid|ref)(=|$)"
 
 _HEADERS = pa.map_(pa.string(), pa.string())
 
+#: How a compressed member begins, bytes that are worked on at once, and payload bytes of a file that is written.
+MEMBER, STRETCH, FILE = b"\x1f\x8b\x08", 1 << 20, 8 << 20
+#: What follows every record.
+RECORD_END = b"\r\n\r\n"
+
 
 def canonical(url: Column) -> Column:
     """Scheme and "www." dropped, host in lower case, no default port, fragment, tracking parameters or slash at the end.
@@ -55,30 +65,95 @@ def _headers(raw: bytes) -> dict[str, str]:
     for line in raw.decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
         if colon:
-            found.setdefault(name.strip().lower(), value.strip())
+            name, value = name.strip().lower(), value.strip()
+            found[name] = f"{found[name]}, {value}" if name in found else value
     return found
 
 
+def _stretches(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The plain bytes of a file in stretches of about STRETCH, and why one ends too early."""
+    if data[:2] != MEMBER[:2]:
+        yield from ((data[at : at + STRETCH], None) for at in range(0, len(data), STRETCH))
+        return
+    at = 0
+    while at < len(data):
+        if data[at : at + 3] != MEMBER:
+            found = data.find(MEMBER, at + 1)
+            yield b"", "no compressed member here"
+            at = found if found >= 0 else len(data)
+            continue
+        unzip, fed = zlib.decompressobj(31), at
+        try:
+            while not unzip.eof and (unzip.unconsumed_tail or fed < len(data)):
+                part = unzip.unconsumed_tail or data[fed : fed + STRETCH]
+                fed += 0 if unzip.unconsumed_tail else len(part)
+                yield unzip.decompress(part, STRETCH), None
+        except zlib.error:
+            pass
+        if unzip.eof:
+            at = fed - len(unzip.unused_data)
+        else:
+            found = data.find(MEMBER, at + 1)
+            yield b"", "a compressed member is cut short or damaged"
+            at = found if found >= 0 else len(data)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, which may be compressed record by record: headers, HTTP status, HTTP headers, payload.
+    """The records of a WARC file: WARC headers, HTTP status, HTTP headers, payload; error: why one isn't whole."""
+    held = bytearray()
+    for part, error in _stretches(data):
+        held += part
+        yield from _whole(held, error is not None)
+        if error:
+            yield _broken(error)
+    yield from _whole(held, True)
+
+
+def _broken(error: str, warc: dict[str, str] | None = None) -> dict:
+    return {"warc": warc or {}, "status": None, "http": {}, "payload": None, "error": error}
+
+
+def _whole(held: bytearray, last: bool) -> Iterator[dict]:
+    """Takes whole records from the front of held; if nothing comes after (last), what is broken as well."""
+
+    def skip(start: int) -> None:
+        found = held.find(b"WARC/1.", start)
+        del held[: found if found >= 0 else len(held) if last else max(0, len(held) - 6)]  # of a mark that may go on
 
-    Ends at the first record that is broken.
-    """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
+        at = 0
+        while at < len(held) and held[at] in b"\r\n":
+            at += 1
+        del held[:at]
+        if not held or not last and len(held) < 16:
             return
-        own = _headers(data[at:end])
-        if not own.get("content-length", "").isdigit():
+        if not held.startswith(b"WARC/"):
+            yield _broken("no record here")
+            skip(1)
+            continue
+        end = held.find(b"\r\n\r\n")
+        if end < 0:
+            if not last and len(held) < STRETCH:
+                return
+            yield _broken("headers without an end")
+            skip(1)
+            continue
+        own = _headers(bytes(held[:end]))
+        length = own.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield _broken("no length", own)
+            skip(end)
+            continue
+        stop = end + 4 + int(length)
+        if stop + 4 > len(held) and not last:
             return
-        body = data[end + 4 : end + 4 + int(own["content-length"])]
-        at = end + 4 + int(own["content-length"])
-        record = {"warc": own, "status": None, "http": {}, "payload": body}
+        if stop > len(held) or not RECORD_END.startswith(held[stop : stop + 4]):  # what should end it is elsewhere
+            yield _broken("cut short", own)
+            skip(end)
+            continue
+        body = bytes(held[end + 4 : stop])
+        del held[:stop]
+        record = _broken("", own) | {"payload": body, "error": None}
         if own.get("content-type", "").startswith("application/http") and body[:5] == b"HTTP/":
             head, _, record["payload"] = body.partition(b"\r\n\r\n")
             first, _, lines = head.partition(b"\r\n")
@@ -88,7 +163,7 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """(record_id, type, url, ts, status, headers, payload_sha256, payload) of all records of files, a binary each.
+    """(record_id, type, url, ts, status, headers, payload_sha256, payload, error) of all records of files, a binary each.
 
     record_id is the WARC-Record-ID; the time is WARC-Date. Null files have no records.
     """
@@ -97,13 +172,45 @@ def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for (data,) in each:
             for r in parse(bytes(data)) if data is not None else ():
-                own = r["warc"]
-                yield own.get("warc-record-id"), own.get("warc-type"), own.get("warc-target-uri"), own.get("warc-date"), r["status"], list(r["http"].items()), sha256(r["payload"]).hexdigest(), r["payload"]
+                own, payload = r["warc"], r["payload"]
+                digest = None if payload is None else sha256(payload).hexdigest()
+                yield own.get("warc-record-id"), own.get("warc-type"), own.get("warc-target-uri"), own.get("warc-date"), r["status"], list(r["http"].items()), digest, payload, r["error"]
 
-    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", _HEADERS), ("payload_sha256", pa.string()), ("payload", pa.binary())])
-    text = "record_id string, type string, url string, date string, status int, headers map<string,string>, payload_sha256 string, payload binary"
+    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", _HEADERS), ("payload_sha256", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    text = "record_id string, type string, url string, date string, status int, headers map<string,string>, payload_sha256 string, payload binary, error string"
     read = mapped(pick(files, content=content_col), rows, schema, text)
-    return read.select("record_id", "type", "url", F.try_to_timestamp("date").alias("ts"), "status", "headers", "payload_sha256", "payload")
+    return read.select("record_id", "type", "url", F.try_to_timestamp("date").alias("ts"), "status", "headers", "payload_sha256", "payload", "error")
+
+
+def write_warc(records: DataFrame) -> DataFrame:
+    """(content): WARC files of records (record_id, type, url, ts, status, headers, payload), one member a record.
+
+    Values are strings but for ts (a timestamp), status and payload; headers is a map; what is null is left out. Line ends in
+    a value become spaces. A file has about FILE bytes of payload at most, or one record.
+    """
+    line = lambda name, value: f"{name}: {' '.join(value.splitlines())}\r\n".encode() if value is not None else b""
+
+    def member(record_id, kind, url, date, status, headers, payload) -> bytes:
+        http = b"".join(line(k, v) for k, v in headers or ())
+        body = f"HTTP/1.1 {status or 0} -\r\n".encode() + http + b"\r\n" + (payload or b"")
+        head = line("WARC-Type", kind) + line("WARC-Record-ID", record_id) + line("WARC-Target-URI", url) + line("WARC-Date", date)
+        whole = b"WARC/1.1\r\n" + head + line("Content-Type", "application/http") + line("Content-Length", str(len(body))) + b"\r\n" + body + b"\r\n\r\n"
+        return gzip.compress(whole, 1, mtime=0)
+
+    def rows(each: Iterator[tuple]) -> Iterator[tuple]:
+        held, size = [], 0
+        for record in each:
+            held.append(member(*record))
+            size += len(record[-1] or b"")
+            if size >= FILE:
+                yield (b"".join(held),)
+                held, size = [], 0
+        if held:
+            yield (b"".join(held),)
+
+    date = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("date")
+    own = records.select("record_id", "type", "url", date, "status", "headers", "payload")
+    return mapped(own, rows, pa.schema([("content", pa.binary())]), "content binary", flush=1)
 
 
 def matching(revisit: dict[str, str], response: dict[str, str]) -> str:
@@ -127,6 +234,8 @@ def resolve(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = records.sparkSession
     id_type = records.schema["record_id"].dataType
+    if "error" in records.columns:
+        records = records.where("error IS NULL")
     is_revisit = F.col("type") == "revisit"
     known = F.filter(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull())
     headers = F.transform(known, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
@@ -187,28 +296,32 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     own = pick(pages, page_id="page_id", url="url", html="html").where("page_id IS NOT NULL")
     nth = lambda n: F.pmod("page_id", F.lit(n)) == 0
-    sha = F.sha2(F.coalesce("html", F.lit("")), 256)
+    when = lambda seconds: F.timestamp_seconds(seconds)
+    named = lambda n: F.concat(F.lit("<urn:capture:"), n.cast("string"), F.lit(">"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
     # a page's validators depend on its URL, as a resource's do
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce(canonical(F.col("url")), F.lit(""))), 1, 8), F.lit('"'))
     date = F.concat(F.lit("day "), F.substring(tag, 2, 2))
     etag = F.when(~nth(7), tag)
     response = own.select(
-        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("type"), "url", F.pmod("page_id", F.lit(1000)).cast("long").alias("ts"), F.lit(200).alias("status"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag, F.lit("Last-Modified"), date, F.lit("Date"), F.lit("first")).alias("headers"), sha.alias("payload_sha256"),
+        named(F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("type"), "url", when(F.pmod("page_id", F.lit(1000))).alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag, F.lit("Last-Modified"), date, F.lit("Date"), F.lit("first")).alias("headers"), payload.alias("payload"),
     )
     stale = F.when(nth(10), F.concat(F.lit("W/"), F.lit('"stale"'))).otherwise(F.concat(F.lit("W/"), etag))
     revisit = own.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("type"), F.regexp_replace("url", "^https?://(www[.])?", "HTTPS://").alias("url"), F.pmod(F.col("page_id") * 7, F.lit(2000)).cast("long").alias("ts"), F.lit(304).alias("status"),
-        F.create_map(F.lit("ETag"), F.when(~nth(13), stale), F.lit("Last-Modified"), F.when(~nth(13), date), F.lit("Date"), F.lit("again"), F.lit("Content-Type"), F.lit("none")).alias("headers"), F.lit(None).cast("string").alias("payload_sha256"),
+        named(F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("type"), F.regexp_replace("url", "^https?://(www[.])?", "HTTPS://").alias("url"), when(F.pmod(F.col("page_id") * 7, F.lit(2000))).alias("ts"), F.lit(304).alias("status"),
+        F.create_map(F.lit("ETag"), F.when(~nth(13), stale), F.lit("Last-Modified"), F.when(~nth(13), date), F.lit("Date"), F.lit("again"), F.lit("Content-Type"), F.lit("none")).alias("headers"), F.lit(None).cast("binary").alias("payload"),
     )
     return response.union(revisit)
 
 
 def resolved_captures(pages: DataFrame) -> DataFrame:
-    """resolve() of captures(), the headers as one string."""
-    found = resolve(captures(pages))
+    """captures() written as WARC files, read back and resolved; ids and times as numbers, the headers as one string."""
+    files = write_warc(captures(pages))
+    records = written(read_warc(files).drop("payload"), "records")
+    found = resolve(records.withColumn("record_id", F.regexp_extract("record_id", "(-?[0-9]+)>", 1).cast("long")))
     entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
-    return found.withColumn("headers", F.array_join(entries, "; "))
+    return found.withColumn("headers", F.array_join(entries, "; ")).withColumn("ts", F.unix_seconds("ts"))
 
 
 #: The same for DuckDB.
