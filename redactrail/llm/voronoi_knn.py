@@ -130,7 +130,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     def solve(queries: DataFrame) -> DataFrame:
         """The best k of each query and block that reach its bound."""
         sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        many = sent.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))  # a row for each block
+        # a row for each block, as a table: so the joins shuffle by themselves and can be split, or broadcast it if it is small
+        many = written(sent.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")), "groups", narrow=True)
         sent = sent.join(many, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), "groups").cast("int")).drop("groups")
         copies = data.join(many, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
         both = sent.groupBy("cell", "block", "part").cogroup(copies.groupBy("cell", "block", "part"))
