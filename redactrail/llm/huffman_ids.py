@@ -7,7 +7,7 @@ The files: under `<path>/codebook` the length of each id's code (canonical codes
 first, ids in order within a length), under `<path>/blocks` Parquet rows, each a block that is decoded by itself with the
 codebook. A block holds whole documents: `shard`, `block`, `start_in_shard`, `n_ids`, the documents' ids and token counts,
 `bits` (each document's codes from a whole byte on, most significant bit first) and `checkpoints` (little-endian unsigned
-32-bit bit offsets of every INTERVAL-th id of each document). Shards are ranges of document ids, in order.
+64-bit bit offsets of every INTERVAL-th id of each document). Shards are ranges of document ids, in order.
 
 Code lengths are optimal under the limit (package-merge over global counts). Decoding takes one table look-up an id, side
 by side for the stretches between checkpoints.
@@ -17,7 +17,7 @@ of the vocabulary, are all that a driver gets, besides quantiles of the document
 documents are shuffled. A block is closed at BLOCK_IDS ids, so a document of any length has its own block at most.
 
 Cases. Null text: as the empty text, the end id alone. Null document ids come first. Repeated ids and rows: kept, next to
-each other. Empty table: no blocks, empty result. Extra columns are not read. An id without a code: ValueError.
+each other. Document ids that are no whole numbers: ValueError. Empty table: no blocks, empty result. Extra columns are not read. An id without a code: ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactrail.llm.common import mapped, pick, quoted, shared_folder, shuffle_partitions, written
+from redactrail.llm.common import forget, mapped, pick, shared_folder, shuffle_partitions, whole, written
 from redactrail.llm.hf_ids import encoded
 
 #: The longest code in bits, ids between checkpoints, ids after which a block is closed.
@@ -117,7 +117,7 @@ def encode(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.nd
     many = -(-sizes // interval)
     steps = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     points = before[np.repeat(begins, many) + steps * interval] - np.repeat(before[begins], many)
-    return words.astype(">u8").tobytes()[: int(first[-1])], first, points.astype("<u4"), many
+    return words.astype(">u8").tobytes()[: int(first[-1])], first, points.astype("<u8"), many
 
 
 def decode(bits: bytes, points: np.ndarray, counts: np.ndarray, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -178,7 +178,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, end_id: int = 1, chunks: str =
         yield None, None, added(total, held).tobytes()
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
-    return mapped(pick(df, doc_id=F.col(quoted(id_col)).cast("long"), text=text_col), rows, schema, "doc_id long, ids binary, counts binary")
+    return mapped(pick(df, doc_id=whole(df, id_col), text=text_col), rows, schema, "doc_id long, ids binary, counts binary")
 
 
 def added(total: np.ndarray, parts: list[bytes]) -> np.ndarray:
@@ -255,9 +255,9 @@ def write_tokens(tokens: DataFrame, path: str, limit: int = LIMIT, interval: int
             offset, bits, points = 0, [], []
             for _, _, _, own, marks in held:
                 bits.append(own)
-                points.append(np.frombuffer(marks, "<u4") + np.uint32(8 * offset))
+                points.append(np.frombuffer(marks, "<u8") + np.uint64(8 * offset))
                 offset += len(own)
-            return shard, number, start, size, [x[1] for x in held], [x[2] for x in held], b"".join(bits), np.concatenate(points).astype("<u4").tobytes()
+            return shard, number, start, size, [x[1] for x in held], [x[2] for x in held], b"".join(bits), np.concatenate(points).astype("<u8").tobytes()
 
         for row in each:
             if held and (row[0] != shard or size >= block_ids):
@@ -278,7 +278,9 @@ def write_tokens(tokens: DataFrame, path: str, limit: int = LIMIT, interval: int
 
 def write_documents(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, chunks: str = "word", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenises whole texts and writes their ids under path."""
-    write_tokens(written(tokenised(df, tokenizer_path, end_id, chunks, id_col, text_col), "ids"), path)
+    tokens = written(tokenised(df, tokenizer_path, end_id, chunks, id_col, text_col), "ids")
+    write_tokens(tokens, path)
+    forget(tokens)
 
 
 def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray, dict[int, int], int]:
@@ -306,7 +308,7 @@ def read_documents(spark: SparkSession, path: str, digests_only: bool = False) -
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for shard, start, doc_ids, sizes, bits, points in each:
             counts = stretches(np.array(sizes, np.int64), interval)
-            ids = decode(bits, np.frombuffer(points, "<u4"), counts, table, limit).astype("<u4", copy=False)
+            ids = decode(bits, np.frombuffer(points, "<u8"), counts, table, limit).astype("<u4", copy=False)
             at, begin = 0, starts[shard] + start
             for doc_id, n in zip(doc_ids, sizes, strict=True):
                 own = ids[at : at + n].tobytes()

@@ -3,6 +3,8 @@
 import math
 import random
 import struct
+from collections import Counter
+from datetime import datetime
 from hashlib import sha256
 from zlib import crc32
 
@@ -32,13 +34,47 @@ def test_warc_files_and_revisits(spark):
     revisit = record("revisit", "https://www.example.com/a#top", "2024-01-02T00:00:00Z", b"HTTP/1.1 304 Not Modified\r\nETag: W/\"1\"\r\nContent-Type: no\r\nVary: b", b"", "<v1>")
     files = spark.createDataFrame([(gzip.compress(response) + gzip.compress(revisit), 1), (b"broken", 2), (None, 3), (b"", 4)], "content binary, type int")
     records = warc_revisits.read_warc(files)
-    assert records.count() == 2
+    assert records.where("error IS NULL").count() == 2 and records.where("error IS NOT NULL").count() == 1
     found = warc_revisits.resolve(records).collect()
     assert len(found) == 1 and found[0]["resolved"] and found[0]["reason"] == "etag" and found[0]["refers_to"] == "<r1>"
     assert found[0]["headers"] == {"etag": 'W/"1"', "content-type": "text/html", "vary": "b"}
     assert found[0]["payload_sha256"] == sha256(b"<html>").hexdigest()
 
 
+def test_damaged_warc_files(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc_revisits, "STRETCH", 256)
+    each = [record("response", f"http://a.b/{i}", "2024-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\nVary: a\r\nVary: b", bytes(300) + b"x" * (97 * i), f"<{i}>") for i in range(6)]
+    zipped = [gzip.compress(x) for x in each]
+    got = lambda data: [(r["warc"].get("warc-record-id"), r["error"]) for r in warc_revisits.parse(data)]
+    whole = [(f"<{i}>", None) for i in range(6)]
+    assert got(b"".join(each)) == got(b"".join(zipped)) == got(gzip.compress(b"".join(each))) == whole
+    assert [len(r["payload"]) for r in warc_revisits.parse(b"".join(zipped))] == [300 + 97 * i for i in range(6)]
+    assert {r["http"]["vary"] for r in warc_revisits.parse(each[0])} == {"a, b"}
+    for data in (each[0] + each[1][:-200] + b"".join(each[2:]), zipped[0] + gzip.compress(each[1][:-200]) + b"".join(zipped[2:])):
+        assert got(data) == [whole[0], ("<1>", "cut short"), *whole[2:]]
+    assert got(b"".join(each)[:-100]) == [*whole[:5], ("<5>", "cut short")]
+    assert got(b"".join(zipped)[:-20])[:5] == whole[:5] and got(b"".join(zipped)[:-20])[-1] == (None, "a compressed member is cut short or damaged")
+    damaged = zipped[1][:40] + bytes(9) + zipped[1][49:]
+    found = got(zipped[0] + damaged + b"".join(zipped[2:]))
+    assert [x for x in found if x[1] is None] == [whole[0], *whole[2:]] and len(found) > 5
+    assert list(dict.fromkeys(got(each[0] + b"garbage" * 100 + each[1]))) == [whole[0], (None, "no record here"), whole[1]]  # a row for each stretch
+    assert got(zipped[0] + b"garbage" * 100 + zipped[1]) == [whole[0], (None, "no compressed member here"), whole[1]]
+    assert [x for x in got(each[0].replace(b"Content-Length", b"Content-Size") + each[1]) if x != (None, "no record here")] == [("<0>", "no length"), whole[1]]
+    assert got(b"WARC/1.1\r\nno end") == [(None, "headers without an end")] and got(b"") == []
+
+
+def test_written_warc_files_read_back(spark):
+    rows = [(str(i), "response", f"http://a.b/{i}" if i % 5 else None, datetime(2024, 1, 1, 0, 0, i) if i % 7 else None, 200, {"ETag": str(i), "None": None} if i % 3 else None, bytes([i]) * 10 if i % 4 else None) for i in range(30)]
+    df = spark.createDataFrame(rows, "record_id string, type string, url string, ts timestamp, status int, headers map<string,string>, payload binary")
+    found = {r["record_id"]: r for r in warc_revisits.read_warc(warc_revisits.write_warc(df.repartition(3))).collect()}
+    for i, kind, url, ts, status, headers, payload in rows:
+        r = found[i]
+        assert (r["type"], r["url"], r["ts"], r["status"], bytes(r["payload"]), r["error"]) == (kind, url, ts, status, payload or b"", None)
+        assert r["headers"] == {k.lower(): v for k, v in (headers or {}).items() if v is not None}
+
+
 def test_revisits_by_brute_force(spark):
     r = random.Random(2)
     rows = []
@@ -130,33 +166,58 @@ def test_hosts_paths_and_rules(url, host, path, rule):
     assert url_filter.Rules(RULES).best(host, path) == rule
 
 
-def test_markov_models_by_brute_force():
-    """Against dictionaries of exact counts."""
-    r = random.Random(3)
-    urls = [["http://good.com/" + r.choice(["news", "blog"]) + str(r.randrange(99)) for _ in range(40)], ["http://bad.com/" + r.choice(["spam", "win"]) for _ in range(40)]]
-    tables = np.zeros((2, 2, url_filter.BUCKETS), np.float32)
-    exact = [({}, {}), ({}, {})]
-    for side in (0, 1):
-        both, context, _ = url_filter._grams(urls[side])
-        tables[side, 0] += np.bincount(both.ravel(), minlength=url_filter.BUCKETS)
-        tables[side, 1] += np.bincount(context.ravel(), minlength=url_filter.BUCKETS)
-        for u in urls[side]:
-            data = b"\2" * url_filter.ORDER + u.encode().translate(url_filter.DIGITS)
-            for i in range(url_filter.ORDER, len(data)):
-                for k in range(url_filter.ORDER + 1):
-                    for d, key in zip(exact[side], (data[i - k : i + 1], (data[i - k : i], k)), strict=True):
-                        d[key] = d.get(key, 0) + 1
-    tests = ["http://good.com/news7", "http://bad.com/spam", "", "other"]
-    got = url_filter.Model(tables, 0.0).scores(tests)
-    for u, score in zip(tests, got, strict=True):
-        data, total = b"\2" * url_filter.ORDER + u.encode().translate(url_filter.DIGITS), 0.0
-        for i in range(url_filter.ORDER, len(data)):
+def plain_verdicts(rows):
+    """(page_id, verdict, score) by dictionaries of exact counts, rules in a loop, and every threshold tried."""
+
+    def rule_of(url):
+        fits = []
+        host, path = url_filter.host_and_path(url)
+        for verdict, rule in RULES:
+            name, _, start = rule.partition("/")
+            if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
+                fits.append((len(rule), verdict == "block", verdict))
+        return max(fits)[2] if fits else None
+
+    order, counts = url_filter.ORDER, [Counter(), Counter()]
+    raw = lambda u: b"\2" * order + (u or "").encode().translate(url_filter.DIGITS)
+    examples = [(u, rule_of(u) == "allow") for _, u in rows if rule_of(u)]
+    held = [crc32(u.encode()) % url_filter.FOLDS == 0 for u, _ in examples]
+    for (u, side), out in zip(examples, held, strict=True):
+        for i in range(order, len(raw(u)) if not out else 0):
+            for k in range(order + 1):
+                counts[side][raw(u)[i - k : i + 1], None] += 1
+                counts[side][raw(u)[i - k : i], k] += 1
+
+    def score(u):
+        data, total = raw(u), 0.0
+        for i in range(order, len(data)):
             p = [1 / 256, 1 / 256]
             for side in (0, 1):
-                for k in range(url_filter.ORDER + 1):
-                    p[side] = (exact[side][0].get(data[i - k : i + 1], 0) + 2.0 * p[side]) / (exact[side][1].get((data[i - k : i], k), 0) + 2.0)
+                for k in range(order + 1):
+                    p[side] = (counts[side][data[i - k : i + 1], None] + url_filter.SMOOTHING * p[side]) / (counts[side][data[i - k : i], k] + url_filter.SMOOTHING)
             total += math.log(p[1]) - math.log(p[0])
-        assert abs(score - total / max(1, len(u))) < 0.05
+        return total / max(1, len(data) - order)
+
+    tested = [(score(u), side) for (u, side), out in zip(examples, held, strict=True) if out]
+    steps = [-url_filter.SPAN + 2 * url_filter.SPAN * k / url_filter.STEPS for k in range(url_filter.STEPS + 1)]
+    accepted, rejected = ([x for x, side in tested if side == y] for y in (True, False))
+    quality = [sum(x < t for x in rejected) / len(rejected) + sum(x >= t for x in accepted) / len(accepted) for t in steps]
+    threshold = min((t for t, q in zip(steps, quality, strict=True) if q >= max(quality) - 1e-9), key=abs)
+    return [(i, rule_of(u) or ("allow" if score(u) >= threshold else "block"), score(u)) for i, u in rows]
+
+
+def test_judged_pages_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    r = random.Random(3)
+    rows = [tuple(x) for x in pages.collect()]
+    rows += [(1000 + i, f"http://{r.choice(['good', 'fine'])}.example.net/de/{r.choice(['news', 'blog'])}{r.randrange(99)}") for i in range(60)]
+    rows += [(2000 + i, f"http://{r.choice(['bad', 'fine'])}.example.org/es/{r.choice(['spam', 'win'])}{r.randrange(99)}") for i in range(60)]
+    rows += [(3000 + i, f"http://{r.choice(['bad', 'good'])}.fr/{r.choice(['spam', 'news', 'x'])}") for i in range(40)] + [(4000, None), (4001, ""), (4002, "é")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    found = sorted((x["page_id"], x["verdict"], x["score"]) for x in url_filter.judged(df, url_filter.fit(df, RULES), RULES).collect())
+    for (i, verdict, score), (j, plain, expected) in zip(found, sorted(plain_verdicts(rows)), strict=True):
+        assert (i, verdict) == (j, plain) and abs(score - expected) < 1e-9
+    assert {v for i, v, _ in found if i >= 3000} == {"allow", "block"}
     assert url_filter.calibrated(np.zeros((2, url_filter.STEPS))) == 0.0
 
 
@@ -193,6 +254,9 @@ def test_media_round_trip(documents):
     rows = avi_media.clips(stored).collect()
     assert all(sum(r["n_frames"] for r in rows if r["doc_id"] == i) == got[i]["payload_bytes"] // 192 for i in got)
     assert all(sum(r["doc_id"] == i for r in rows) == got[i]["n_clips"] for i in got)
+    for i in got:
+        own = sorted((r["start_ms"], r["end_ms"]) for r in rows if r["doc_id"] == i)
+        assert got[i]["feature"].split("clips ")[1] == " ".join(f"{a:g}-{b:g}" for a, b in own)
 
 
 def plain_lossless(frame):
@@ -254,6 +318,53 @@ def test_index_order_shots_and_broken_files(spark):
     assert {r["doc_id"] for r in rows if r["error"]} == {2, 3, 5} and all(r["doc_id"] != 4 for r in rows)
 
 
+def plain_shots(film):
+    """Cuts by their definition, frame by frame."""
+    levels = [Counter(int(x) // 16 for x in frame) for frame in film]
+    d = [0.0] + [sum(abs(a[k] - b[k]) for k in range(16)) / (2 * len(film[0])) for a, b in zip(levels, levels[1:], strict=False)]
+    cuts = []
+    for i in range(1, len(film)):
+        near = d[max(1, i - avi_media.WINDOW) : i + avi_media.WINDOW + 1]
+        mean = sum(near) / len(near)
+        spread = max(0.0, sum(x * x for x in near) / len(near) - mean * mean) ** 0.5
+        if d[i] > mean + avi_media.DEVIATIONS * spread + 1e-9 and d[i] >= avi_media.LEAST_CUT:
+            cuts.append(i)
+    return cuts
+
+
+def test_shots_by_brute_force():
+    rng = np.random.default_rng(8)
+    films = [np.concatenate([rng.normal(m, s, (n, 192)).clip(0, 255) for m, s, n in zip(rng.integers(20, 230, 12), rng.integers(1, 60, 12), rng.integers(1, 30, 12), strict=True)]).astype(np.uint8) for _ in range(6)]
+    starts = np.cumsum([0, *map(len, films[:-1])])
+    found = [x.tolist() for x in avi_media.shots(np.concatenate(films), starts)]
+    assert found == [plain_shots(f) for f in films] and sum(map(len, found)) > 10
+
+
+def test_rec_lists_dropped_frames_and_streams(spark):
+    film = np.concatenate([np.full((10, 192), 30), np.full((10, 192), 200)]).astype(np.uint8)
+    frames = avi_media.encode_frames(film)
+    data = avi_media.write_avi(frames)
+    movie, index = data.index(b"movi") - 8, data.rindex(b"idx1")
+    head = data[12:movie]
+    chunk, group = avi_media._chunk, lambda parts: avi_media._chunk(b"LIST", b"rec " + b"".join(parts))
+    build = lambda head, parts: avi_media._chunk(b"RIFF", b"AVI " + head + avi_media._chunk(b"LIST", b"movi" + b"".join(parts)))
+    by_two = [group([chunk(b"00dc", a), chunk(b"01wb", b"sound"), chunk(b"00dc", b)]) for a, b in zip(frames[::2], frames[1::2], strict=True)]
+    assert avi_media.read_avi(build(head, by_two))[0] == frames and index > movie
+    dropped = [b"" if i in (3, 4, 12) else f for i, f in enumerate(frames)]
+    lossy = avi_media.write_avi(dropped)
+    assert avi_media.read_avi(lossy)[0] == dropped and (avi_media.frame_samples(dropped) == film).all()
+    other = avi_media.encode_frames(255 - film)
+    stream = head[head.index(b"LIST", 20) :]  # the stream's own list
+    sound = stream.replace(b"vidsMJPG", b"auds\0\0\0\0")
+    both = chunk(b"LIST", head[8 : head.index(b"LIST", 20)] + sound + stream + stream)
+    mixed = [x for f, g in zip(frames, other, strict=True) for x in (chunk(b"00wb", b"s"), chunk(b"01dc", f), chunk(b"02dc", g))]
+    assert avi_media.read_avi(build(both, mixed))[0] == frames
+    df = spark.createDataFrame([(1, build(head, by_two)), (2, lossy), (3, build(both, mixed)), (4, avi_media.write_avi([b"", b""]))], "doc_id long, media binary")
+    rows = sorted((r["doc_id"], r["start_ms"], r["end_ms"], r["error"]) for r in avi_media.clips(df).where("doc_id < 4").collect())
+    assert rows == [(i, *span, None) for i in (1, 2, 3) for span in ((0.0, 400.0), (400.0, 800.0))]
+    assert [r["error"] for r in avi_media.clips(df).where("doc_id = 4").collect()] == ["no frames"]
+
+
 def baseline(planes, sampling, restart=0, own_tables=True):
     """A baseline frame of planes of whole blocks, by the definition: DCT, quantiser 2, the usual tables."""
     from redactrail.llm import baseline_jpeg as B
