@@ -2,19 +2,24 @@
 
     python -m redactrail.cli --left DIR --right DIR [--only raw] [--right-only out] --out DIR [--per-app 100] [--salt TEXT]
     python -m redactrail.cli --root DIR --out DIR          (halves guessed from the folders' names)
+
+With --metrics DIR, what the documents of each pair say is compared and written; with --map DB and --marks DIR, the values of
+a table of substitutions that they hold.
 """
 
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactrail.functions import formats
 from redactrail.functions import paths as P
-from redactrail.operators import align, layout, review
+from redactrail.operators import align, diff, layout, review
 from redactrail.operators.stages import settled
-from redactrail.sources import listing
+from redactrail.sources import listing, mappings
 
 
 def side(spark: SparkSession, location: str, only: str | None, exclude: str | None, drop: list[str]):
@@ -48,9 +53,21 @@ def open_review(spark: SparkSession, left: str, right: str, left_only: str | Non
     return review.sampled(rows, salt, per_app), layout.variants(a, ignore)
 
 
+def documents(rows: DataFrame, end: str, location: str) -> DataFrame:
+    """(path, text): what the documents at one end of a review's rows say."""
+    paths = rows.where(F.col(end).isNotNull()).select(F.col(end).alias("path")).distinct()
+    return paths.select("path", formats.document_text(F.col("path"), listing.content(location, F.col("path"))).alias("text"))
+
+
+def open_reviews(spark: SparkSession, jobs: list[dict]) -> DataFrame:
+    """The rows of several reviews, each with its review_id; jobs: arguments of open_review()."""
+    each = [open_review(spark, **job)[0].withColumn("review_id", P.session_id(F.lit(job["left"]), F.lit(job["right"]))) for job in jobs]
+    return reduce(DataFrame.unionByName, each)
+
+
 def main(arguments: list[str] | None = None) -> None:
     asked = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    for name in ("root", "left", "right", "only", "right-only", "exclude", "right-exclude", "salt", "out"):
+    for name in ("root", "left", "right", "only", "right-only", "exclude", "right-exclude", "salt", "out", "metrics", "map", "marks"):
         asked.add_argument(f"--{name}", default="" if name == "salt" else None)
     asked.add_argument("--drop", action="append", default=[])
     asked.add_argument("--per-app", type=int, default=review.PER_APP)
@@ -70,6 +87,12 @@ def main(arguments: list[str] | None = None) -> None:
     rows = settled(rows)
     if a.out:
         rows.write.mode("overwrite").parquet(a.out)
+    if a.metrics:
+        diff.metrics(rows.select("left", "right", "how"), documents(rows, "left", left), documents(rows, "right", right)).write.mode("overwrite").parquet(a.metrics)
+    if a.map and a.marks:
+        vocabulary = diff.vocabulary(mappings.read(spark, a.map))
+        sides = [diff.marks(documents(rows, end, at), vocabulary).withColumn("side", F.lit(end)) for end, at in (("left", left), ("right", right))]
+        reduce(DataFrame.unionByName, sides).write.mode("overwrite").parquet(a.marks)
     for r in align.counts(rows).collect():
         print(r["how"], r["n"])
     for r in doubles.collect():

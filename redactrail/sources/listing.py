@@ -4,17 +4,21 @@
     spark.read.format("listing").option("path", "/data/run").load()          # side, path, size, truncated
     spark.read.format("listing").option("path", "/data/run.zip").load()
 
-Spark's own file listing leaves out hidden folders and empty files, which a review must see. A folder is read with a
-partition for each of its branches, an archive with one, a store with one for each branch of the prefixes that the
-planner's descent finds.
+Spark's own file listing leaves out hidden folders and empty files, which a review must see. An archive is read with one
+partition, a folder or store with one for each branch that the planner's descent finds. `content` reads the files
+themselves, a store's objects by the same client. Where that client isn't installed, `spark_files` lists and reads a store
+by Spark's own connectors.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -26,8 +30,8 @@ from redactrail.functions.paths import parse_location
 
 SCHEMA = "side string, path string, size bigint, truncated boolean"
 #: Pages of a store's listing that are read of a branch (0: all), levels of descent, children that make a level too wide,
-#: and branches at most.
-PAGES, DEPTH, WIDE, BRANCHES = 5, 4, 12, 64
+#: branches at most, and objects that a worker fetches at once.
+PAGES, DEPTH, WIDE, BRANCHES, FETCHES = 0, 4, 12, 64, 16
 
 
 @dataclass
@@ -100,6 +104,16 @@ def store_children(client, bucket: str) -> Callable[[str], list[str]]:
     return lambda prefix: [c["Prefix"] for page in pages(client, bucket, prefix, True) for c in page.get("CommonPrefixes", [])]
 
 
+def folder_children(root: str) -> Callable[[str], list[str]]:
+    return lambda prefix: sorted(os.path.join(prefix, e.name) for e in os.scandir(os.path.join(root, prefix)) if e.is_dir(follow_symlinks=False))
+
+
+def bucket_of(location: str) -> tuple[str, str]:
+    """The bucket of a store's location, and the prefix that its keys begin with."""
+    bucket, _, prefix = location.split("://", 1)[1].partition("/")
+    return bucket, f"{prefix}/" if prefix else ""
+
+
 def store_keys(client, bucket: str, prefix: str, shallow: bool = False, most_pages: int = PAGES) -> tuple[list[tuple[str, int]], bool]:
     """(key, size) of a branch, and whether it was cut short after most_pages pages (0: never; nor if shallow)."""
     found, n = [], 0
@@ -115,7 +129,7 @@ def _client(location: str, options: dict):
     try:
         import boto3
     except ImportError as e:
-        raise ImportError("listing a store needs boto3; or list it through Spark's own connectors") from e
+        raise ImportError("a store needs boto3 here; spark_files() reads it by Spark's own connectors") from e
     endpoint = "https://storage.googleapis.com" if location.startswith("gs://") else None
     return boto3.Session(profile_name=options.get("profile")).client("s3", region_name=options.get("region"), endpoint_url=endpoint)
 
@@ -128,17 +142,17 @@ class ListingReader(DataSourceReader):
         self.most_pages = int(self.options.get("pages", PAGES))
 
     def _bucket(self) -> tuple[str, str]:
-        bucket, _, prefix = self.location.split("://", 1)[1].partition("/")
-        return bucket, f"{prefix}/" if prefix else ""
+        return bucket_of(self.location)
 
     def partitions(self) -> list[InputPartition]:
         if self.kind == "archive":
             return [Branch("")]
         if self.kind == "folder":
-            below = sorted(e.name for e in os.scandir(self.location) if e.is_dir(follow_symlinks=False))
-            return [Branch("", True), *map(Branch, below)]
-        bucket, base = self._bucket()
-        branches, past = descend(store_children(_client(self.location, self.options), bucket), base)
+            base, children = "", folder_children(self.location)
+        else:
+            bucket, base = self._bucket()
+            children = store_children(_client(self.location, self.options), bucket)
+        branches, past = descend(children, base)
         return [*map(Branch, branches), *[Branch(p, True) for p in past]] if branches else [Branch(base)]
 
     def read(self, partition: Branch) -> Iterator[tuple]:
@@ -172,24 +186,31 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MappingSource)
 
 
-def content(root: str, path: Column) -> Column:
-    """The bytes of files of a folder or archive; null for paths that lead out of it or nowhere."""
+def content(root: str, path: Column, **options: str) -> Column:
+    """The bytes of files of a folder, archive or store; null for paths that lead out of it or nowhere."""
     kind, location = open_location(root)
 
     @F.pandas_udf("binary")
     def read(paths: pd.Series) -> pd.Series:
-        return pd.Series(read_files(kind, location, paths.tolist()), dtype=object)
+        return pd.Series(read_files(kind, location, paths.tolist(), options), dtype=object)
 
     return read(path)
 
 
-def read_files(kind: str, location: str, paths: list[str]) -> list[bytes | None]:
+@lru_cache(maxsize=4)
+def _archive(location: str, changed: float) -> tuple[zipfile.ZipFile, set[str]]:  # noqa: ARG001  a changed archive is another
+    archive = zipfile.ZipFile(location)
+    return archive, set(archive.namelist())
+
+
+def read_files(kind: str, location: str, paths: list[str | None], options: dict | None = None) -> list[bytes | None]:
     if kind == "archive":
-        with zipfile.ZipFile(location) as archive:
-            names = set(archive.namelist())
-            return [archive.read(p) if p in names else None for p in paths]
-    if kind != "folder":
-        raise ValueError("a store's objects are read by Spark's own connectors")
+        archive, names = _archive(location, os.path.getmtime(location))
+        return [archive.read(p) if p in names else None for p in paths]
+    if kind == "store":
+        client, (bucket, base) = _client(location, options or {}), bucket_of(location)
+        with ThreadPoolExecutor(FETCHES) as pool:
+            return list(pool.map(lambda p: read_object(client, bucket, base, p), paths))
     top = os.path.realpath(location)
     found: list[bytes | None] = []
     for path in paths:
@@ -199,6 +220,29 @@ def read_files(kind: str, location: str, paths: list[str]) -> list[bytes | None]
     return found
 
 
+def read_object(client, bucket: str, base: str, path: str | None) -> bytes | None:
+    """An object of a store by its path below base; null if there is none, or if the path has empty or upward steps."""
+    if not path or {"", ".."} & set(path.split("/")):
+        return None
+    try:
+        return client.get_object(Bucket=bucket, Key=base + path)["Body"].read()
+    except Exception as e:
+        if getattr(e, "response", {}).get("Error", {}).get("Code") in ("NoSuchKey", "404"):
+            return None
+        raise
+
+
+def spark_files(spark: SparkSession, location: str) -> DataFrame:
+    """(path, size, content) of a store by Spark's connectors; they leave out empty objects and hidden folders.
+
+    Sizes alone don't read any content.
+    """
+    root = re.sub("^s3://", "s3a://", location.rstrip("/"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    below = F.regexp_replace(F.col("path"), "^" + re.escape(root.replace("file:///", "file:/")) + "/+", "")
+    return files.select(below.alias("path"), F.col("length").alias("size"), "content")
+
+
 def snapshot(listing: DataFrame, folder: str, location: str, max_age: int = 3600) -> DataFrame:
     """The listing of a location, kept under `folder` for max_age seconds, with its flag of being cut short.
 

@@ -68,6 +68,18 @@ def is_database(location: str) -> bool:
     return bool(re.search(r"[.](db|sqlite3?)$", location, re.IGNORECASE)) or location.split("://")[0] in DATABASES or location.startswith("jdbc:")
 
 
+def resolved(listing: DataFrame, users: DataFrame, given: str | None = None) -> DataFrame:
+    """(user, path): the table of each user; a database that is given, by file or URL, is everybody's.
+
+    given: that, or null for what the listing has: the user's own table, else the one of the run.
+    """
+    if given and is_database(given):
+        return users.select("user", F.lit(given).alias("path"))
+    own, common = per_user(listing, users), discovered(listing.where(~F.col("path").contains("/")))
+    shared = common.first()
+    return users.select("user").join(own, "user", "left").select("user", F.coalesce("path", F.lit(shared["path"] if shared else None)).alias("path")).where("path IS NOT NULL")
+
+
 def per_user(listing: DataFrame, users: DataFrame) -> DataFrame:
     """(user, path): each user's own table in a folder's listing, by the first place that has one."""
     places = F.array(*[F.struct(F.lit(i).alias("rank"), F.format_string(t.replace("{user}", "%s"), "user").alias("path")) for i, t in enumerate(PER_USER)])

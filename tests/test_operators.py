@@ -170,3 +170,17 @@ def test_marks(spark):
     texts = spark.createDataFrame([("d", "ANN LEEDS met x y on a plan, old")], "path string, text string")
     assert {(r["kind"], r["value"]) for r in diff.marks(texts, vocab).collect()} == {("original", "Ann Lee"), ("leak", "Ann Leeds"), ("replacement", "X Y"), ("leak", "plan")}
     assert {r["value"] for r in diff.marks(texts, vocab, most=1).where("kind = 'leak'").collect()} == {"Ann Leeds"}
+
+
+def test_shown_rows_are_the_sample_and_hits(spark):
+    rows = spark.createDataFrame([(i, f"a/doc {i}.txt", f"a/doc {i}.txt", None, i < 3) for i in range(20)], "id long, label string, left string, right string, sampled boolean")
+    got = {(r["id"], r["found"]) for r in review.shown(rows, "doc 1").collect()}
+    assert got == {(0, False), (1, False), (2, False), *[(i, True) for i in range(10, 20)]}
+
+
+def test_turns_in_ranges(spark):
+    rows = [(["hot"] if i % 10 else [f"f{i}"], i * 7 % 50, f"p{i:03d}") for i in range(200)]
+    got = {r["path"]: r["turn"] for r in align.by_turn(spark.createDataFrame(rows, "bucket array<string>, size long, path string").repartition(7)).collect()}
+    for bucket in {tuple(b) for b, *_ in rows}:
+        own = sorted((-size, path) for b, size, path in rows if tuple(b) == bucket)
+        assert [got[path] for _, path in own] == list(range(1, len(own) + 1))
