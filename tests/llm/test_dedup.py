@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import ODD
 from pyspark.sql import functions as F
@@ -154,7 +155,9 @@ def test_links_in_families_just_under_the_similarity(documents, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(texts)).collect()} == dict(enumerate(expected))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, components_module.SMALL])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components_module, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, None)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
@@ -170,6 +173,25 @@ def test_working_tables_are_cleaned_up(spark, documents, tmp_path):
     assert not common.WORKING and not any(os.path.isdir(p) for p in own | before)
 
 
+def test_components_of_one_task():
+    r = random.Random(1)
+    for n in (1, 2, 30, 3000):
+        ids = r.sample(range(10**9), n + 1)
+        edges = [(ids[r.randrange(n + 1)], ids[r.randrange(n + 1)]) for _ in range(n // 2)] + ([(ids[i], ids[i + 1]) for i in range(n)] if n == 30 else [])
+        root = {}
+        for u, v in edges:
+            for x in (u, v):
+                root.setdefault(x, {x})
+            if root[u] is not root[v]:
+                both = root[u] | root[v]
+                for x in both:
+                    root[x] = both
+        batch = pa.record_batch([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], names=["u", "v"])
+        found = dict(pair for b in components_module._solve(iter([batch.slice(0, 3), batch.slice(3)])) for pair in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        assert found == {x: min(own) for x, own in root.items()}
+    assert list(components_module._solve(iter([]))) == []
+
+
 def test_shared_passages(documents):
     passage = prose(70, 99)
     texts = [prose(200, i) for i in range(20)]

@@ -123,10 +123,45 @@ def test_features_by_hand():
         words = text.split()
         expected = len(words) + max(0, len(words) - 1) + sum(len(w) + max(0, len(w) - 1) for w in words)
         assert len(quality.features(text)) == expected
+        runs = [f" {w} "[i : i + n] for w in words for n in (3, 4) for i in range(len(w) + 3 - n)]
+        pairs = [a + " " + b if a != b else "again" for a, b in zip(words, words[1:], strict=False)]
+        plain = Counter([("word", w) for w in words] + [("pair", x) for x in pairs] + [(len(x), x) for x in runs])
+        assert sorted(plain.values()) == sorted(Counter(quality.features(text).tolist()).values())
     same = set(quality.features("ab ab")) & set(quality.features("cd cd"))
     assert len(same) == 1  # the word that follows itself
 
 
+def test_training_by_plain_loops(monkeypatch):
+    """Against loops over single numbers, from the same first vectors and in the same order."""
+    monkeypatch.setattr(quality, "DIM", 3)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    r = random.Random(4)
+    rows = [(np.array(sorted(r.sample(range(30), 6))), np.array([r.randint(1, 3) for _ in range(6)], np.float32), int(i % 3 > 0)) for i in range(9)]
+    model = quality.train(rows, 0.7, seed=5)
+    order = np.random.default_rng(5)
+    vectors = order.normal(0, 1 / 3, (quality.BUCKETS, 3))[:30].tolist()
+    out, bias, at, steps = [[0.0] * 3, [0.0] * 3], [0.0, 0.0], 0, 2 * 2 * 6
+    own = [[i for i, (*_, y) in enumerate(rows) if y == label] for label in (0, 1)]
+    for _ in range(2):
+        drawn = [order.permutation(own[label]).tolist() for label in (0, 1)]
+        for i in order.permutation([x[k % len(x)] for x in drawn for k in range(6)]).tolist():
+            buckets, counts, label = rows[i][0].tolist(), rows[i][1].tolist(), rows[i][2]
+            rate = quality.RATE * (1 - at / steps)
+            at += 1
+            share = [c / sum(counts) for c in counts]
+            mean = [sum(w * vectors[b][d] for w, b in zip(share, buckets, strict=True)) for d in range(3)]
+            odds = [math.exp(sum(o * m for o, m in zip(out[k], mean, strict=True)) + bias[k]) for k in (0, 1)]
+            error = [odds[k] / sum(odds) - (k == label) for k in (0, 1)]
+            back = [sum(error[k] * out[k][d] for k in (0, 1)) for d in range(3)]
+            for k in (0, 1):
+                out[k] = [o - rate * error[k] * m for o, m in zip(out[k], mean, strict=True)]
+                bias[k] -= rate * 0.1 * error[k]
+            for w, b in zip(share, buckets, strict=True):
+                vectors[b] = [v - rate * w / max(share) * g for v, g in zip(vectors[b], back, strict=True)]
+    expected = [sum(v[d] * (out[1][d] - out[0][d]) for d in range(3)) for v in vectors]
+    assert np.allclose(model.table[:30], expected, atol=1e-4) and abs(model.bias - (bias[1] - bias[0] + math.log(0.7 / 0.3))) < 1e-4
+
+
 def test_quality_of_odd_rows(documents, spark):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(documents(ODD), empty)
@@ -494,6 +529,42 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
 
 
+def test_pipeline_against_plain_steps(spark, documents, tmp_path):
+    """Which documents stay, and their ids: scores one by one, links by brute force, passages by a search of the texts."""
+    import corpus_pipeline
+    import public_tokenizers
+    from test_dedup import brute_force, edited, prose
+    from tokenizers import Tokenizer
+
+    passage = prose(80, 990)
+    texts = [prose(150, i) for i in range(24)]
+    texts += [edited(texts[i], 2, i) for i in range(4)] + [texts[5], texts[6]] + ["bad junk " + " ".join(["junk", "spam"] * 60) + f" {i} {prose(20, 700 + i)}" for i in range(16)]
+    for i in (9, 15, 20):
+        texts[i] = f"{prose(60, 800 + i)} {passage} {prose(60, 900 + i)}"
+    texts.append(prose(3000, 5000))
+    label = [int(not t.startswith("bad")) for t in texts]
+    documents(texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y, 0) for i, y in enumerate(label)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    df, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = quality.fit(df, labels)
+    good = [i for i, t in enumerate(texts) if model.score(t) >= 0.3]
+    assert good == [i for i, y in enumerate(label) if y]
+    first = brute_force([texts[i] for i in good])
+    kept = [good[i] for i, parent in enumerate(first) if i == parent]
+    assert {r["doc_id"] for r in rows} == set(kept) and len(kept) == len(good) - 6
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in kept:
+        own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        if i in (15, 20):  # the passage stays in 9
+            assert len(ids) - 0.9 * len(library.encode(passage).ids) > sum(x[2] for x in own) >= len(ids) - len(library.encode(passage).ids) - 4
+        else:
+            assert [(x[1], x[3]) for x in own] == [(x[1], crc32(ids[x[1] : x[1] + x[2]].tobytes())) for x in own] and sum(x[2] for x in own) == len(ids)
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) and b[1] + b[2] <= 2048 for a, b in zip([(None, 0, 0), *places], places, strict=False))
+
+
 def test_pipeline_of_odd_rows(spark, documents, monkeypatch, tmp_path):
     import corpus_pipeline
 
