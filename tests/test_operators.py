@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,63 @@ def test_turns_in_ranges(spark):
     for bucket in {tuple(b) for b, *_ in rows}:
         own = sorted((-size, path) for b, size, path in rows if tuple(b) == bucket)
         assert [got[path] for _, path in own] == list(range(1, len(own) + 1))
+
+
+def plain_cascade(left, right):
+    """Pairs by loops over folders: left and right map paths, whose first segment is the side, to sizes."""
+    below = lambda path: path.split("/", 1)[1]
+    folder = lambda path: below(path).rpartition("/")[0]
+    name = lambda path: path.rsplit("/", 1)[1]
+    tokens = lambda path: {t for t in re.split("[^a-z0-9]+", name(path).lower()) if len(t) > 1}
+    found, a, b = {}, dict(left), dict(right)
+
+    def take(x, y, how):
+        found[x] = (y, how)
+        del a[x], b[y]
+
+    for at in sorted({folder(p) for p in left}):
+        here = lambda side: sorted(p for p in side if folder(p) == at)  # noqa: B023, E731
+        for x in here(a):
+            for y in [y for y in here(b) if name(x) == name(y)]:
+                take(x, y, "exact")
+        for x in here(a):
+            shared = sorted(((len(tokens(x) & tokens(y)), y) for y in here(b)), reverse=True)
+            if shared and shared[0][0] >= 2 and (len(shared) == 1 or shared[0][0] > shared[1][0]):
+                take(x, shared[0][1], "fuzzy")
+        if len(here(a)) == len(here(b)) == 1:
+            take(here(a)[0], here(b)[0], "sole")
+        for x in sorted(here(a), key=lambda p: (-left[p], p)):
+            if here(b):
+                take(x, min(here(b), key=lambda y: (abs(right[y] - left[x]), y)), "size")  # noqa: B023
+    for x in sorted(a):
+        same = [y for y in b if name(y) == name(x)]
+        if len(same) == 1 and sum(name(z) == name(x) for z in left if z not in found) == 1:
+            take(x, same[0], "name")
+    return sorted((x, y, how) for x, (y, how) in found.items())
+
+
+def test_cascade_by_brute_force(spark):
+    r = random.Random(11)
+    words = ["report", "mail", "north", "plan", "draft", "note", "cr"]
+    make = lambda side: {f"{side}/f{r.randrange(12)}/{'-'.join(r.choice(words) for _ in range(r.randint(1, 4)))}{r.randrange(4)}.txt": r.randrange(40) for _ in range(130)}
+    left, right = make("raw"), make("files")
+    expected = plain_cascade(left, right)
+    assert {how for *_, how in expected} >= {"exact", "fuzzy", "size"}
+    assert pairs(spark, left, right) == expected
+
+
+def test_byte_profiles_by_brute_force(spark):
+    r = random.Random(12)
+    ours = {f"p{i}": {f"{j}.txt": r.randrange(1, 1000) for j in r.sample(range(6), 5)} for i in range(14)}
+    theirs = {f"q{i}": {f: s + r.randrange(-s // 5, s // 5 + 1) for f, s in own.items()} for i, own in enumerate(ours.values()) if i % 5}
+    theirs |= {"q_a": dict(theirs["q1"]), "q_z": {"0.txt": 3}}
+    apart = lambda a, b: sum(abs(a[k] - b[k]) for k in a.keys() & b.keys()) / (sum(max(a[k], b[k]) for k in a.keys() & b.keys()) or 1) if a.keys() & b.keys() else 1.0
+    free, expected = dict(theirs), set()
+    for name in sorted(ours):
+        near = sorted((apart(ours[name], other), n) for n, other in free.items())
+        if near[0][0] <= 0.3 and (near[1][0] > 0 if near[0][0] == 0 else near[1][0] >= 1.6 * near[0][0]):
+            expected.add((name, near[0][1]))
+            del free[near[0][1]]
+    listed = lambda side: {f"cal/{n}/{f}": s for n, own in side.items() for f, s in own.items()}
+    found = align.renamed_folders(tree(spark, listed(ours)), tree(spark, listed(theirs))).collect()
+    assert {(x["left_name"], x["right_name"]) for x in found} == expected and len(expected) > 3
