@@ -54,9 +54,14 @@ def open_review(spark: SparkSession, left: str, right: str, left_only: str | Non
 
 
 def documents(rows: DataFrame, end: str, location: str) -> DataFrame:
-    """(path, text): what the documents at one end of a review's rows say."""
+    """(path, text, bytes, digest, pages): what the documents at one end of a review's rows say, and of their files."""
     paths = rows.where(F.col(end).isNotNull()).select(F.col(end).alias("path")).distinct()
-    return paths.select("path", formats.document_text(F.col("path"), listing.content(location, F.col("path"))).alias("text"))
+    files = paths.withColumn("content", listing.content(location, F.col("path")))
+    pages = F.size(formats.page_sizes(F.col("path"), F.col("content")))
+    return files.select(
+        "path", formats.document_text(F.col("path"), F.col("content")).alias("text"), F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest"),
+        F.when(pages >= 0, pages).alias("pages"),
+    )
 
 
 def open_reviews(spark: SparkSession, jobs: list[dict]) -> DataFrame:

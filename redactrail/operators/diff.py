@@ -19,20 +19,28 @@ def tokenised(texts: DataFrame, key: str = "path") -> DataFrame:
 def metrics(rows: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """What was removed and added in each row of a review, with the first SAMPLES tokens of each.
 
-    rows: left, right, how; left and right: path and text of the documents. A missing document has null counts.
+    rows: left, right, how; left and right: path and text of the documents, and if they have them, their files' bytes (a
+    number) and digest, by which they are identical then, and pages. A missing document has null counts.
     """
-    side = lambda df, end, p: df.select(F.col("path").alias(end), F.col("text").alias(f"{p}text"), T.content_tokens(F.col("text")).alias(f"{p}tokens"))
+
+    def side(df: DataFrame, end: str, p: str) -> DataFrame:
+        has = lambda c, other: F.col(c) if c in df.columns else other
+        text = F.col("text")
+        own = has("bytes", F.octet_length(text)).alias(f"{p}bytes"), has("digest", text).alias(f"{p}digest"), has("pages", F.lit(None).cast("int")).alias(f"{p}pages")
+        return df.select(F.col("path").alias(end), F.length(text).alias(f"{p}chars"), T.content_tokens(text).alias(f"{p}tokens"), *own)
+
+    paged = [F.col("lpages").alias("left_pages"), F.col("rpages").alias("right_pages")] if "pages" in left.columns else []
     both = rows.join(side(left, "left", "l"), "left").join(side(right, "right", "r"), "right", "left")
     removed, added = F.array_except("ltokens", "rtokens"), F.array_except("rtokens", "ltokens")
     here = F.col("right").isNotNull()
     with_sets = both.select("*", F.when(here, removed).alias("_removed"), F.when(here, added).alias("_added"))
     return with_sets.select(
         "left", "how",
-        F.octet_length("ltext").cast("long").alias("left_bytes"), F.octet_length("rtext").cast("long").alias("right_bytes"),
-        F.length("ltext").cast("long").alias("left_chars"), F.length("rtext").cast("long").alias("right_chars"),
+        F.col("lbytes").cast("long").alias("left_bytes"), F.col("rbytes").cast("long").alias("right_bytes"),
+        F.col("lchars").cast("long").alias("left_chars"), F.col("rchars").cast("long").alias("right_chars"),
         F.when(here, F.size("_removed").cast("long")).alias("removed"), F.when(here, F.size("_added").cast("long")).alias("added"),
-        F.when(here, F.col("ltext") == F.col("rtext")).alias("identical"),
-        F.slice(F.array_sort("_removed"), 1, SAMPLES).alias("removed_sample"), F.slice(F.array_sort("_added"), 1, SAMPLES).alias("added_sample"),
+        F.when(here, F.col("ldigest") == F.col("rdigest")).alias("identical"),
+        F.slice(F.array_sort("_removed"), 1, SAMPLES).alias("removed_sample"), F.slice(F.array_sort("_added"), 1, SAMPLES).alias("added_sample"), *paged,
     )
 
 
