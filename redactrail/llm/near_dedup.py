@@ -12,6 +12,8 @@ Only shingles in more than COMMON * N documents must be known by name, and there
 document has on average: a bound that doesn't grow with the corpus. Each task counts its documents in chunks and lets go of
 what at most COMMON / 2 of a chunk's documents hold; the sums of what is left, over all tasks, miss at most half of COMMON,
 so they are a complete list of candidates, twice that bound at most, which a second pass counts exactly over all documents.
+Small partitions are read together, so that a task sees 4 / COMMON documents or more and lets go of what only two of them
+hold, or one.
 
 Samples. For a shingle x and sample k, r and c are Gamma(2, 1) and b uniform; with weight w, t = floor(ln w / r + b) and
 ln a = ln c - r (t - b) - r; the shingle of least a is the sample, with its t. The draws come from a table of 2**16 triples
@@ -154,23 +156,26 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         """(documents, their shingles) in chunks of CHUNK_SHINGLES to twice as many; only a small task's one has fewer."""
-        ready, held, size = [], [], 0
+        ready, held, size = None, [], 0
         for batch in batches:
             for text in batch.column(0):
                 held.append(shingles(text.as_py())[0])
                 size += len(held[-1])
                 if size >= CHUNK_SHINGLES:
-                    if ready:
-                        yield len(ready), np.concatenate(ready)
-                    ready, held, size = held, [], 0
-        if ready or held:
-            yield len(ready) + len(held), np.concatenate(ready + held)
+                    if ready is not None:
+                        yield ready
+                    ready, held, size = (len(held), np.concatenate(held)), [], 0
+        if ready is None and held:
+            yield len(held), np.concatenate(held)
+        elif ready is not None:
+            yield ready[0] + len(held), np.concatenate([ready[1], *held])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, every in chunks(batches):
             least = COMMON / 2 * n
-            cell = (every >> np.uint64(42)).astype(np.int32)  # 2**22 cells: few shingles share one with a frequent one
+            cell = (every >> np.uint64(42)).view(np.int64)  # 2**22 cells: few shingles share one with a frequent one
             every = every[(np.bincount(cell, minlength=1 << 22) > least)[cell]]
+            del cell
             found, df = np.unique(every, return_counts=True)
             found, df = found[df > least], df[df > least]
             for at in range(0, len(found), 1 << 16):
@@ -194,7 +199,9 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
         return found[order], rows.column("n").to_numpy()[order]
 
     texts = docs.select("text")
-    wanted, _ = summed(texts, candidates, COMMON / 2 * total)
+    # tasks that see few documents could let go of nothing
+    large = texts.coalesce(max(1, int(total * COMMON / 4)))
+    wanted, _ = summed(large, candidates, COMMON / 2 * total)
     if not len(wanted):
         return wanted, np.zeros(0)
     sent = docs.sparkSession.sparkContext.broadcast(wanted)  # 2 / COMMON times a document's shingles at most
