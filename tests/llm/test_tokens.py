@@ -4,6 +4,7 @@ import math
 import random
 from array import array
 from collections import Counter
+from functools import lru_cache
 from hashlib import sha256
 from itertools import product
 from zlib import crc32
@@ -71,8 +72,9 @@ def test_chunks_give_the_librarys_ids(text):
     assert array("I", rank_ids.encoder(public.path("byte_bpe_50k.json")).encode(text)).tolist() == library_cached("byte_bpe_50k.json")(text)
 
 
-def library_cached(name, cache={}):  # noqa: B006
-    return cache.setdefault(name, library(name)) if name in cache else cache.setdefault(name, library(name))
+@lru_cache
+def library_cached(name):
+    return library(name)
 
 
 def test_long_texts_are_cut_where_no_piece_is(monkeypatch):
