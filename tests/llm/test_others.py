@@ -557,8 +557,8 @@ def test_pipeline_against_plain_steps(spark, documents, tmp_path):
     for i in kept:
         own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
         ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
-        if i in (15, 20):  # the passage stays in 9
-            assert len(ids) - 0.9 * len(library.encode(passage).ids) > sum(x[2] for x in own) >= len(ids) - len(library.encode(passage).ids) - 4
+        if i in (15, 20):  # the passage stays in 9, its ends of 70 bytes or so in all three
+            assert len(ids) - 0.8 * len(library.encode(passage).ids) > sum(x[2] for x in own) >= len(ids) - len(library.encode(passage).ids) - 4
         else:
             assert [(x[1], x[3]) for x in own] == [(x[1], crc32(ids[x[1] : x[1] + x[2]].tobytes())) for x in own] and sum(x[2] for x in own) == len(ids)
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
