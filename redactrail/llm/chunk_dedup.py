@@ -10,10 +10,11 @@ A window in several documents is shared, and a run of shared windows that direct
 documents that share a run of chunks of at least `min_bytes` share all windows in it; phrases that are each found in
 another document share none. A false match of digests can mark one window.
 
-A passage is kept or removed as a whole: it stays where any window of it stands for the first time (smallest doc_id, there
-the first), else it goes. So each shared window, and the passage around it, stays whole in its first document, also where
-part of that passage stands in an earlier one. A passage of which each window has an earlier document, but not all the same,
-goes, too. A passage that stays is not cut by one that goes and overlaps it.
+A shared window that stands here for the first time (smallest doc_id, there the first) stays whole; what other shared
+windows cover goes, but for bytes of those that stay. So each shared window stays whole in its first document, also where an
+earlier passage lies around or beside it, and a passage of an earlier document goes also where it stands within a longer one
+that is new: of that one, the windows across its borders stay, up to MIN_BYTES + MOST bytes on each side. A passage of which
+each window has an earlier document, but not all the same, goes, too.
 
 A passage of n bytes is found but for the way to its first chunk end and, at its end, less than two chunks, some 70 bytes
 together; with min_bytes 150, shared passages of over 50 words are found and common lines and phrases are left alone.
@@ -31,6 +32,7 @@ columns are not read by `repeats` and are kept by `deduplicated`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -123,7 +125,7 @@ def chunks(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def passages(doc_id: int, marks: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Of a document's shared windows (number, start, end, first document, its start, digest): all passages, and what to remove.
 
-    Both as (start, end, first document of its first window, or the document itself if the passage stays).
+    Both as (start, end, first document of its first window, or the document itself if a window of the passage stays).
     """
     runs: list[list[tuple[int, int, int, int, int, int]]] = []
     for mark in sorted(set(marks)):
@@ -135,12 +137,16 @@ def passages(doc_id: int, marks: list[tuple[int, int, int, int, int, int]]) -> t
     gone: list[tuple[int, int, int]] = []
     kept: list[tuple[int, int]] = []
     for run in runs:
-        stays = any((first, at) == (doc_id, start) for _, start, _, first, at, _ in run)
+        stays = False
+        for new, part in groupby(run, key=lambda m: m[3:5] == (doc_id, m[1])):
+            part = list(part)
+            start, end = part[0][1], max(m[2] for m in part)
+            if new:
+                kept.append((start, end))
+                stays = True
+            else:
+                gone.append((start, end, part[0][3]))
         span = run[0][1], max(m[2] for m in run), doc_id if stays else run[0][3]
-        if stays:
-            kept.append(span[:2])
-        else:
-            gone.append(span)
         if found and span[0] < found[-1][1]:  # overlaps the one before, with other documents
             found[-1] = (found[-1][0], max(found[-1][1], span[1]), found[-1][2])
         else:
@@ -157,7 +163,7 @@ def passages(doc_id: int, marks: list[tuple[int, int, int, int, int, int]]) -> t
 def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document that shares a passage: (doc_id, repeated_bytes, removed_bytes, first_docs, spans, removed).
 
-    spans: the passages as (start, end, first_doc) in UTF-8 bytes; removed: those of them that are not the first copy;
+    spans: the passages as (start, end, first_doc) in UTF-8 bytes; removed: what of them is not the first copy;
     first_docs: the documents that hold the first copies.
     """
     docs = pick(df, doc_id=whole(df, id_col), text=text_col).where("doc_id IS NOT NULL")
@@ -175,7 +181,7 @@ def repeats(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
             found, removed = passages(doc_id, [(m["i"], m["start"], m["end"], m["first_doc"], m["first_start"], m["digest"]) for m in marks])
             if found:
                 as_rows = [[{"start": a, "end": b, "first_doc": c} for a, b, c in x] for x in (found, removed)]
-                yield doc_id, sum(b - a for a, b, _ in found), sum(b - a for a, b, _ in removed), sorted({c for _, _, c in found}), *as_rows
+                yield doc_id, sum(b - a for a, b, _ in found), sum(b - a for a, b, _ in removed), sorted({c for _, _, c in [*found, *removed]}), *as_rows
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("repeated_bytes", pa.int64()), ("removed_bytes", pa.int64()), ("first_docs", pa.list_(pa.int64())), ("spans", span), ("removed", span)])

@@ -256,6 +256,20 @@ def test_first_copy_of_a_passage_has_no_holes(documents):
     assert after[0] == texts[0] and after[1] == texts[1] and passage[80:-80] not in after[2]
 
 
+def test_earlier_passage_within_a_longer_one_goes(documents):
+    """Where a longer passage stands first, the part of it that an earlier document holds goes but for the windows across its borders."""
+    passage, before, after = prose(150, 9), prose(60, 410), prose(60, 411)
+    longer = f"{before} {passage} {after}"
+    texts = [f"{prose(30, 412)} {passage} {prose(30, 413)}", f"{prose(40, 414)} {longer} {prose(40, 415)}", f"{prose(40, 416)} {longer} {prose(40, 417)}"]
+    cut = {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicated(documents(texts)).collect()}
+    assert cut[0] == texts[0]
+    side = chunk_dedup.MIN_BYTES + chunk_dedup.MOST
+    assert passage[side:-side] in texts[1] and passage[side:-side] not in cut[1]
+    assert len(texts[1]) - len(passage) <= len(cut[1]) <= len(texts[1]) - len(passage) + 2 * side
+    assert f"{before} {passage[:60]}" in cut[1] and f"{passage[-60:]} {after}" in cut[1]
+    assert before[100:] not in cut[2] and passage[90:-90] not in cut[2] and after[:-100] not in cut[2]
+
+
 def test_odd_rows_have_no_passages(documents):
     assert chunk_dedup.repeats(documents(ODD)).collect() == []
     assert chunk_dedup.repeats(documents(ODD).limit(0)).collect() == []
