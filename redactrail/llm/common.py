@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -89,6 +90,15 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 WORKING: set[str] = set()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver's Python and JVM let go of plans that are done with, and so of their shuffles and broadcasts.
+
+    Else plans of many joins fill the JVM's heap up to its limit before it collects them, however little of it is in use.
+    """
+    gc.collect()  # Python's ends of JVM objects keep those
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor.
 
@@ -100,6 +110,7 @@ def written(df: DataFrame, what: str, codec: str = "zstd", narrow: bool = False)
         df = df.coalesce(max(8, shuffle_partitions(df.sparkSession) // 8))
     df.write.option("compression", codec).parquet(path)
     WORKING.add(path)
+    collect_garbage(df.sparkSession)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.working_path = path
     return table

@@ -173,6 +173,15 @@ def test_working_tables_are_cleaned_up(spark, documents, tmp_path):
     assert not common.WORKING and not any(os.path.isdir(p) for p in own | before)
 
 
+def test_driver_lets_go_of_garbage_after_each_table(spark):
+    """Whole collections of the JVM's heap: of its collectors, the last one listed is that of the old generation."""
+    whole = lambda: list(spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())[-1].getCollectionCount()
+    common.written(spark.range(3), "numbers")
+    before = whole()
+    common.written(spark.range(3), "numbers")
+    assert whole() > before
+
+
 def test_components_of_one_task():
     r = random.Random(1)
     for n in (1, 2, 30, 3000):
