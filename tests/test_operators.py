@@ -166,6 +166,18 @@ def test_learned_leaks(spark):
     assert diff.pair_tokens(rows, left, right, limit_per_app=1).select("left").distinct().count() == 1
 
 
+def test_marks_of_texts_that_share_a_path(spark):
+    texts = spark.createDataFrame([("p", "a plan of ours"), ("p", "planners met a plan-b"), ("p", "a plan again"), ("q", "planners")], "path string, text string")
+    vocab = diff.vocabulary(spark.createDataFrame([("plan", None), ("plan-b", None)], "original string, replacement string"))
+    assert sorted(tuple(r) for r in diff.marks(texts, vocab).collect()) == [("p", "leak", "plan"), ("p", "leak", "plan-b")]
+    texts = spark.createDataFrame([("p", "a plan of ours"), ("p", "oxplan plan-b")], "path string, text string")
+    vocab = diff.vocabulary(spark.createDataFrame([("xplan", None), ("plan of", None), ("plan-b", None)], "original string, replacement string"))
+    assert sorted(r["value"] for r in diff.marks(texts, vocab).collect()) == ["plan of", "plan-b"]
+    texts = spark.createDataFrame([("p", "one plan"), ("p", "planners")], "path string, text string")
+    vocab = diff.vocabulary(spark.createDataFrame([("plan", None)], "original string, replacement string"))
+    assert [tuple(r) for r in diff.marks(texts, vocab).collect()] == [("p", "leak", "plan")]
+
+
 def test_marks(spark):
     mappings = spark.createDataFrame([("Ann Lee", "X Y", False), ("Ann Leeds", None, False), ("ab", "cd", False), ("old", "new", True), ("plan", " ", None)], "original string, replacement string, deleted boolean")
     vocab = diff.vocabulary(mappings)
