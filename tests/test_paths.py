@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,16 @@ def test_locations(text, found):
     assert P.parse_location(text) == found
 
 
+def test_tokens_are_runs_of_their_characters_and_texts_are_not_split(spark):
+    texts = ["", " ", "ab abc abcd", "-a_b.c+d@e-", "ÄbcÄdefg\u0000hij\nklm\U0001f600nop\u017fqrs", "a.b @@@ ___ 1.5 12 123", "\u0130xyz ABC abc ABC"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for made, least, low in ((T.content_tokens, 3, False), (T.vocabulary_tokens, 1, True)):
+        found = df.select("t", F.lower("t").alias("low"), made(F.col("t")).alias("x"))
+        assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for r in found.collect():
+            assert r["x"] == list(dict.fromkeys(w for w in re.split(T.TOKEN_BREAK, r["low"] if low else r["t"]) if len(w) >= least))
+
+
 def test_tokens(spark):
     assert one(spark, T.content_tokens(F.col("t")), t="Mail a.b@c.de, x of the THE the!") == ["Mail", "a.b@c.de", "the", "THE"]
     assert one(spark, T.vocabulary_tokens(F.col("t")), t="A b-c, a") == ["a", "b-c"]
