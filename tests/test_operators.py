@@ -166,6 +166,15 @@ def test_learned_leaks(spark):
     assert diff.pair_tokens(rows, left, right, limit_per_app=1).select("left").distinct().count() == 1
 
 
+def test_pair_tokens_without_structs_for_each_token(spark):
+    rows = spark.createDataFrame([("m", "a", "x"), ("m", "b", "y"), ("m", "c", None)], "app string, left string, right string")
+    left = spark.createDataFrame([("a", "one two two"), ("b", "one six"), ("c", "one")], "path string, text string")
+    right = spark.createDataFrame([("x", "one new"), ("y", "")], "path string, text string")
+    found = diff.pair_tokens(rows, left, right)
+    assert sorted(tuple(r) for r in found.collect()) == [("m", "a", "one", True), ("m", "a", "two", False), ("m", "b", "one", False), ("m", "b", "six", False)]
+    assert "named_struct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_marks_of_texts_that_share_a_path(spark):
     texts = spark.createDataFrame([("p", "a plan of ours"), ("p", "planners met a plan-b"), ("p", "a plan again"), ("q", "planners")], "path string, text string")
     vocab = diff.vocabulary(spark.createDataFrame([("plan", None), ("plan-b", None)], "original string, replacement string"))
